@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kiteloom.llm.skew import lookup_join
+
 # Tracking fields that do not belong to an address.
 TRACKING_FIELDS = r"^(utm_.*|source|ref|fbclid|gclid)$"
 # Named and numeric character references of signs that occur in addresses.
@@ -23,10 +25,6 @@ REFERENCES = {
     "&(#0*\\d+|#x[0-9a-f]+|nbsp|shy|zwsp|zwnj|zwj|quot|apos|lt|gt|hyphen|dash|ndash|mdash|period|comma|colon|semi|excl|lowbar|plus|lpar|rpar);": "-",
 }
 
-#: Groups above this many rows are split over salts when their members are looked up.
-HOT_GROUP_ROWS = 20_000
-SALTS = 32
-
 
 def _decoded(text: Column) -> Column:
     """Percent codes resolved; a text with broken codes keeps them as they are."""
@@ -111,23 +109,9 @@ def address_copies(df: DataFrame, key: str, url: str) -> DataFrame:
     addresses give no row. Members of groups above HOT_GROUP_ROWS are matched over SALTS salts.
     """
     rows = keyed_addresses(df, key, url)
-    firsts = (
-        address_groups(rows)
-        .filter(F.col("n") > 1)
-        .select(
-            "h1", "h2", "chk", "first_id",
-            # a hot group appears once per salt, any other once for all rows
-            F.explode(
-                F.when(F.col("n") > HOT_GROUP_ROWS, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))
-            ).alias("salt"),
-        )
-    )
-    salted = rows.select(
-        "rec_id", "h1", "h2", "chk",
-        F.explode(F.array(F.lit(-1), F.pmod(F.xxhash64("rec_id"), F.lit(SALTS)).cast("int"))).alias("salt"),
-    )
+    firsts = address_groups(rows).filter(F.col("n") > 1)
     return (
-        salted.join(firsts, ["h1", "h2", "chk", "salt"])
+        lookup_join(rows, firsts, ["h1", "h2", "chk"], size="n", spread="rec_id")
         .filter(F.col("rec_id") > F.col("first_id"))
         .select("first_id", F.col("rec_id").alias("copy_id"))
         .distinct()
