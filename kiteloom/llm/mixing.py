@@ -168,7 +168,8 @@ def mixed_blocks(documents: DataFrame, targets: DataFrame, seed: int = 1, tokeni
         F.greatest(begin - F.col("start"), F.lit(0)).cast("long").alias("first_token"),
         (F.least(begin + BLOCK_TOKENS, F.col("start") + F.col("n_tokens")) - F.greatest(begin, F.col("start"))).cast("long").alias("n_tokens"),
     )
-    return slots.join(pieces, ["channel", "block"]).select("shard", "slot", "channel", "round", "block", "doc_id", "first_token", "n_tokens")
+    # both sides grow with the corpus, so neither may be broadcast
+    return slots.join(pieces.hint("merge"), ["channel", "block"]).select("shard", "slot", "channel", "round", "block", "doc_id", "first_token", "n_tokens")
 
 
 def mix_shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
