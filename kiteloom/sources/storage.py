@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from kiteloom.functions.windows import Window, window_day
@@ -57,7 +58,7 @@ def write_daily(articles: DataFrame, path: str, tz: str = "Asia/Seoul", end_hour
 
 def read_daily(spark: SparkSession, path: str) -> DataFrame:
     """All stored articles with their `day`; a missing store is empty, a malformed line raises."""
-    schema = ARTICLE.add("day", "date") if "day" not in ARTICLE.names else ARTICLE
+    schema = T.StructType([*ARTICLE.fields, T.StructField("day", T.DateType())])
     try:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     except AnalysisException:
