@@ -90,9 +90,29 @@ CHAINS["utf8>cp949"] = (
     lambda t: t.encode("utf-8").decode("cp949"),
     lambda t: t.encode("cp949").decode("utf-8"),
 )
+
+_HOLES = "".join(c for b, c in enumerate(_table("cp1252")) if 128 <= b < 160 and ord(c) == b)
+
+
+def _with_holes(sign: str):
+    """UTF-8 read as cp1252 by a reader that has `sign` (or nothing) for bytes without character."""
+    return lambda t: re.sub(f"[{_HOLES}]", sign, _read_as(t.encode(), "cp1252"))
+
+
+def _mostly_decodes(piece: str) -> bool:
+    """Whether the bytes of a piece with holes are UTF-8 but for the holes."""
+    try:
+        got = _bytes_of(piece, "cp1252").decode("utf-8", "replace")
+    except KeyError:
+        return False
+    return sum(ord(c) > 127 and c != "�" for c in got) >= 1 and got.count("�") <= 2 * piece.count("?") + 1
+
+
 #: Chains that lose characters: name -> garble. What they leave can be found, not restored.
 LOSSY = {
     "utf8>ascii?": lambda t: re.sub(r"[^\x00-\x7f]", "?", t),
+    "utf8>cp1252?": _with_holes("?"),
+    "utf8>cp1252-": _with_holes(""),
     "utf8>ascii�": lambda t: t.encode("utf-8").decode("ascii", "replace"),
     "latin-1>utf8�": lambda t: t.encode("latin-1", "replace").decode("utf-8", "replace"),
     "cp949>utf8�": lambda t: t.encode("cp949").decode("utf-8", "replace"),
@@ -174,18 +194,20 @@ def classify(model: ChainModel, pieces: list[str]) -> dict[str, tuple[str, str |
             continue
         likely = [CLASSES[k] for k in order[row] if k and scores[row, k] >= clean[row] + MARGIN]
         # by likelihood, but strict UTF-8 is the far stronger proof and goes before legacy double bytes
-        for name in sorted(likely, key=lambda n: n.startswith("cp949>")):
+        for name in sorted(likely, key=lambda n: (n in LOSSY, n.startswith("cp949>"))):
             if name in CHAINS:
                 restored = undo_chain(piece, name)
                 if restored is None:  # part of the piece may be right: undo stretch by stretch
-                    parts = [undo_chain(m, name) for m in _STRETCH.findall(piece)]
+                    # two Korean syllables may happen to be UTF-8 bytes, so a stretch read as cp949 must be longer
+                    least = 3 if name == "utf8>cp949" else 1
+                    parts = [undo_chain(m, name) if len(m) >= least else None for m in _STRETCH.findall(piece)]
                     if any(p is not None for p in parts):
                         fixed = iter(parts)
                         restored = _STRETCH.sub(lambda m: next(fixed) or m[0], piece)
                 if restored is not None:
                     found[piece] = (name, restored)
                     break
-            elif "?" in piece and name == "utf8>ascii?":
+            elif (name == "utf8>ascii?" and "?" in piece) or (name.startswith("utf8>cp1252") and _mostly_decodes(piece)):
                 found[piece] = (name, None)
                 break
     return found
@@ -198,8 +220,10 @@ def pieces_of(text: str) -> list[str]:
     return PIECE.findall(bare)
 
 
-#: Question marks alone are weak evidence: this many pieces of them must stand in one text.
+#: Question marks alone are weak evidence: this many pieces of them must stand in one text, unless one
+#: stands inside a word.
 MIN_QUESTION_PIECES = 2
+_IN_WORD = re.compile(r"[^\W\d_]\?[^\W\d_]")
 
 
 def repair_text(text: str, known: dict[str, tuple[str, str | None]]) -> tuple[str | None, str | None, bool]:
@@ -207,7 +231,7 @@ def repair_text(text: str, known: dict[str, tuple[str, str | None]]) -> tuple[st
     pieces = pieces_of(text)
     hits = [(p, *known[p]) for p in pieces if p in known]
     marks = [h for h in hits if h[1] == "utf8>ascii?"]
-    if len(marks) < MIN_QUESTION_PIECES:
+    if len(marks) < MIN_QUESTION_PIECES and not any(_IN_WORD.search(h[0]) for h in marks):
         hits = [h for h in hits if h[1] != "utf8>ascii?"]
     if not hits:
         return None, text, True
