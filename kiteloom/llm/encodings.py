@@ -173,6 +173,8 @@ def undo_chain(piece: str, name: str) -> str | None:
         got = CHAINS[name][1](piece)
     except (UnicodeError, KeyError):
         return None
+    if name == "utf8>cp949" and sum(ord(c) > 127 for c in piece) == 1 and any(c.isalpha() and ord(c) > 127 for c in got):
+        return None  # one syllable may happen to be the bytes of an accented letter
     return got if got != piece and any(ord(c) > 127 for c in got) else None
 
 
