@@ -39,7 +39,9 @@ def daily(spark: SparkSession, sites: DataFrame, raw: DataFrame, pages: DataFram
     window = daily_window(now, settings.timezone, settings.window_end_hour, settings.window_hours)
     today = now.astimezone(ZoneInfo(settings.timezone)).date()
     states = storage.load_state(spark, state_path)
-    targets = sites_to_collect(sites, states, today, settings.inactive_after_days, settings.recheck_every_days, only)
+    # the store and the state are overwritten below, so what was read from them is fixed first
+    states = cut_lineage(states)
+    targets = cut_lineage(sites_to_collect(sites, states, today, settings.inactive_after_days, settings.recheck_every_days, only))
     known = storage.known_urls(spark, store, today)
     articles, results = tiers(targets, raw, pages, known, window, now, settings.language)
     ordered = cut_lineage(with_seq(articles.drop("seq"), "published_at", "url"))
