@@ -12,6 +12,7 @@ NAV_SEGMENTS = (
     "tag tags category categories author authors people page search about archive archives series topics topic "
     "login signup contact privacy terms rss feed newsletter events event careers jobs pricing docs"
 ).split()
+# Fixed value: a path segment that names a language or country.
 LOCALE_SEGMENT = r"^[a-z]{2}(?:[-_][A-Za-z]{2,4})?$"
 # Where feeds are usually found, most frequent first.
 FEED_PATHS = [

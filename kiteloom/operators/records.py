@@ -39,16 +39,26 @@ def dedupe(articles: DataFrame) -> DataFrame:
 def twin_clusters(articles: DataFrame, gap_minutes: int = TWIN_GAP_MINUTES) -> DataFrame:
     """Adds `cluster`: posts of one author on one site, each at most the gap after the one before.
 
-    The rows of one author on one site are ordered in one task; rows without author are in no cluster and
-    never take part in that order.
+    Days are ordered apart and chained by their first and last post, so no author's rows ever meet in one
+    task. Rows without author are in no cluster and are left out.
     """
-    by_author = W.partitionBy("site", "author").orderBy("published_at", "seq")
-    gap = F.col("published_at").cast("double") - F.lag("published_at").over(by_author).cast("double")
-    opens = F.when(gap.isNull() | (gap > gap_minutes * 60), 1).otherwise(0)
-    named = articles.filter(filled("author")).withColumn("_opens", opens).withColumn(
-        "cluster", F.sum("_opens").over(by_author.rowsBetween(W.unboundedPreceding, 0))
-    ).drop("_opens")
-    return named
+    gap = gap_minutes * 60_000_000
+    own = ["site", "author", "_day"]
+    timed = articles.filter(filled("author")).withColumn("_us", F.unix_micros("published_at")).withColumn(
+        "_day", F.floor(F.col("_us") / 86_400_000_000).cast("long")
+    )
+    within = W.partitionBy(*own).orderBy("_us", "seq")
+    opens = F.coalesce((F.col("_us") - F.lag("_us").over(within) > gap).cast("long"), F.lit(0))
+    local = timed.withColumn("_opens", opens).withColumn(
+        "_local", F.sum("_opens").over(within.rowsBetween(W.unboundedPreceding, 0))
+    )
+    days = local.groupBy(*own).agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.sum("_opens").alias("_n"))
+    over_days = W.partitionBy("site", "author").orderBy("_day")
+    fresh = F.coalesce((F.col("_first") - F.lag("_last").over(over_days) > gap).cast("long"), F.lit(1))
+    chained = days.withColumn("_fresh", fresh)
+    earlier = F.coalesce(F.sum("_n").over(over_days.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    base = chained.withColumn("_base", F.sum("_fresh").over(over_days.rowsBetween(W.unboundedPreceding, 0)) + earlier).select(*own, "_base")
+    return local.join(base, own).withColumn("cluster", F.col("_base") + F.col("_local")).select(*articles.columns, "cluster")
 
 
 def preferred(language: str) -> Column:

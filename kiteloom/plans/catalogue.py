@@ -9,7 +9,6 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kiteloom.functions import urls
@@ -195,9 +194,8 @@ def scan_report_totals(spark, sf_dir):
     return records.scan_totals(articles(spark, sf_dir))
 
 
-def rank_within_site(spark, sf_dir):
-    place = F.row_number().over(W.partitionBy("site").orderBy(*records.rank_order()))
-    return articles(spark, sf_dir).select("seq", "site", place.alias("place"))
+def best_of_site(spark, sf_dir):
+    return records.select_top(articles(spark, sf_dir), k=20, threshold=0, per=["site"]).select("seq", "site")
 
 
 def rest_links(spark, sf_dir):
@@ -375,7 +373,7 @@ def embedding_shape(spark, sf_dir):
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     p3_found, digest_top_k_per_window, digest_sections, window_half_open_filter, daily_window_counts, dedupe_richest_by_url, collapse_author_twins, collapse_session_windows,
     preferred_language_copy, upsert_by_url, known_url_anti_join, missing_days, site_pulse, state_fold_history, state_latest, site_status, status_counts, recheck_rota, registry_rows,
-    scan_report_by_site, scan_report_totals, rank_within_site, rest_links, apply_scores, batch_enumeration, valid_interest_filter, canonical_urls, locale_path_variants, path_shapes_top8,
+    scan_report_by_site, scan_report_totals, best_of_site, rest_links, apply_scores, batch_enumeration, valid_interest_filter, canonical_urls, locale_path_variants, path_shapes_top8,
     nav_segment_filter, site_pattern_matches, feed_items_rss, feed_items_atom, feed_items_json, page_meta_tags, embedded_records, sitemap_entries, list_cards, body_text, error_rollup,
     article_records, nation_revenue, customers_without_orders, site_set_operations, embedding_shape,
 ]
@@ -413,7 +411,7 @@ def oracles() -> dict[str, str]:
     meta = lambda c: f"nullif(regexp_replace({c}, '^[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+|[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+$', '', 'g'), '')"
     return {
         "digest_top_k_per_window": _TOP + " SELECT day, url, seq, score, us FROM r WHERE place <= 5",
-        "digest_sections": _EVENTS + f", b AS ({_BEST}), d AS (SELECT *, {_DAY} AS day FROM b WHERE rn = 1), r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY {_ORDER}) AS position FROM d) SELECT day, url, position, CASE WHEN coalesce(score, 0) >= 5 AND position <= 5 THEN 'card' ELSE 'link' END AS section FROM r",
+        "digest_sections": _EVENTS + f", b AS ({_BEST}), d AS (SELECT *, {_DAY} AS day FROM b WHERE rn = 1), r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY {_ORDER}) AS place FROM d) SELECT day, url, CASE WHEN coalesce(score, 0) >= 5 AND place <= 5 THEN place END AS position, CASE WHEN coalesce(score, 0) >= 5 AND place <= 5 THEN 'card' ELSE 'link' END AS section FROM r",
         "window_half_open_filter": _ARTICLES + f" SELECT site, count(*) AS n FROM a WHERE {_RANGE} GROUP BY site",
         "daily_window_counts": _ARTICLES + f" SELECT {_DAY} AS day, count(*) AS n FROM a GROUP BY 1",
         "dedupe_richest_by_url": _ARTICLES + f" SELECT url, seq, url_seq, rich FROM ({_BEST}) WHERE rn = 1",
@@ -430,7 +428,7 @@ def oracles() -> dict[str, str]:
         "status_counts": _DESCRIBED + " SELECT status, count(*) AS n FROM described GROUP BY status",
         "scan_report_by_site": _ARTICLES + " SELECT site, count(*) AS n, min(seq) AS first_seq FROM a GROUP BY site",
         "scan_report_totals": _ARTICLES + ", d AS (SELECT site, CAST(make_timestamp(us + CAST(coalesce(published_offset_s, 0) AS BIGINT) * 1000000) AS DATE) AS day FROM a) SELECT count(*) AS n, min(day) AS oldest, max(day) AS newest, count(DISTINCT site) AS n_sites FROM d",
-        "rank_within_site": _ARTICLES + f" SELECT seq, site, row_number() OVER (PARTITION BY site ORDER BY {_ORDER}) AS place FROM a",
+        "best_of_site": _ARTICLES + f" SELECT seq, site FROM (SELECT seq, site, row_number() OVER (PARTITION BY site ORDER BY {_ORDER}) AS place FROM a) WHERE place <= 20",
         "rest_links": _TOP + " SELECT url, seq FROM d WHERE url NOT IN (SELECT url FROM r WHERE place <= 5)",
         "apply_scores": _EVENTS + " SELECT seq, CASE WHEN seq % 5 = 0 THEN 10 ELSE seq % 11 END AS score, CASE WHEN seq % 5 = 0 THEN NULL ELSE 'fits' END AS reason, CASE WHEN seq % 5 = 0 THEN 'infra' ELSE 'data' END AS interests FROM a",
         "batch_enumeration": _EVENTS + " SELECT seq // 25 AS batch_id, count(*) AS n FROM a GROUP BY 1",

@@ -14,21 +14,26 @@ from kiteloom.functions.windows import Window, date_label, local_label
 from kiteloom.operators.records import failure_reason, rank_order
 from kiteloom.schema import Settings
 
+# The length of a teaser, and the digest's standing texts.
 SUBTITLE_LIMIT = 140
+NO_ARTICLES, NO_HEADLINE, AND_MORE = "이 시간대에 올라온 글이 없습니다.", "새 글 없음", "외"
+HEAD, REST, FOOT, FAILED = "{day}  ·  {total}건 / {sites}개 블로그", "-- 나머지 {n}건 ", "관심사 {interests}개 · 비활성 {inactive}개 제외 · {window}", "수집 실패 {n}건: {detail}"
 #: Rows of a rendered digest; a larger result stays a DataFrame.
 MAX_RENDERED = 100_000
 
 
 def digest_rows(articles: DataFrame, settings: Settings, per: list[str] | None = None) -> DataFrame:
-    """Adds `position` and `section` ('card' or 'link'): the best articles above the threshold are cards, the rest links.
+    """Adds `section` ('card' or 'link') and the cards' `position`: the best articles above the threshold are cards.
 
-    Ranked within each group of `per`, or over all rows of one digest.
+    Only the cards are ranked, within each group of `per` or over all rows: a limit of top_k is applied before any
+    rows meet, so a day or site that holds most of them costs no more. Urls are distinct, as `dedupe` leaves them.
     """
-    by = W.partitionBy(*(per or [F.lit(1)])).orderBy(*rank_order())
-    passing = F.coalesce(F.col("score"), F.lit(0)) >= settings.score_threshold
-    # the order starts with the score, so what passes comes first
-    placed = articles.withColumn("position", F.row_number().over(by))
-    return placed.withColumn("section", F.when(passing & (F.col("position") <= settings.top_k), "card").otherwise("link"))
+    keys = per or []
+    passing = articles.filter(F.coalesce(F.col("score"), F.lit(0)) >= settings.score_threshold)
+    rank = F.row_number().over(W.partitionBy(*(keys or [F.lit(1)])).orderBy(*rank_order()))
+    cards = passing.withColumn("position", rank).filter(F.col("position") <= settings.top_k).select(*keys, "url", "position")
+    joined = articles.join(cards, [*keys, "url"], "left")
+    return joined.select(*articles.columns, "position", F.when(F.col("position").isNotNull(), "card").otherwise("link").alias("section"))
 
 
 def card_lines(tz: str):
@@ -57,27 +62,28 @@ def failures(results: DataFrame) -> DataFrame:
 
 
 def subject(settings: Settings, end: dt.datetime, total: int, best_title: str | None) -> str:
-    headline = f"{best_title} 외" if best_title else "새 글 없음"
+    headline = f"{best_title} {AND_MORE}" if best_title else NO_HEADLINE
     return settings.subject_format.format(date=f"{end.astimezone(ZoneInfo(settings.timezone)):%m-%d}", count=total, headline=headline)
 
 
 def render_digest(articles: DataFrame, results: DataFrame, settings: Settings, window: Window, site_count: int, inactive_count: int) -> tuple[str, str, str]:
     """(subject, HTML, text) of one digest; its rows are at most MAX_RENDERED."""
-    rows = digest_rows(articles, settings).withColumn("line", card_lines(settings.timezone)).orderBy("position").limit(MAX_RENDERED).collect()
+    rows = digest_rows(articles, settings).withColumn("line", card_lines(settings.timezone)).orderBy(*rank_order()).limit(MAX_RENDERED).collect()
     failed = failures(results).orderBy("site").limit(MAX_RENDERED).collect() if settings.show_failures else []
     spark = articles.sparkSession
     day = spark.range(1).select(date_label(F.lit(window.end), settings.timezone)).first()[0]
     cards, links = [r for r in rows if r.section == "card"], [r for r in rows if r.section == "link"]
-    head = f"{day}  ·  {len(rows)}건 / {site_count}개 블로그"
+    head = HEAD.format(day=day, total=len(rows), sites=site_count)
     body = [head, "=" * 60, ""]
-    body += [] if rows else ["이 시간대에 올라온 글이 없습니다."]
+    body += [] if rows else [NO_ARTICLES]
     for r in cards:
         body += [r.line, ""]
     if links:
-        body += [f"-- 나머지 {len(links)}건 " + "-" * 34, *[r.line for r in links], ""]
-    foot = f"관심사 {len(settings.interests)}개 · 비활성 {inactive_count}개 제외 · {window.label(settings.timezone)}"
+        body += [REST.format(n=len(links)) + "-" * 34, *[r.line for r in links], ""]
+    foot = FOOT.format(interests=len(settings.interests), inactive=inactive_count, window=window.label(settings.timezone))
     body += ["-" * 60, foot]
-    failed_line = f"수집 실패 {len(failed)}건: " + ", ".join(f"{f.site} ({f.reason})" for f in failed) if failed else ""
+    detail = ", ".join(f"{f.site} ({f.reason})" for f in failed)
+    failed_line = FAILED.format(n=len(failed), detail=detail) if failed else ""
     body += [failed_line] if failed else []
 
     def item(r) -> str:

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kiteloom.functions.dates import parse_date_column, zone
-from kiteloom.functions.urls import canonical_url, host, is_navigation, matches_article, path, strip_suffix
+from kiteloom.functions.urls import canonical_url, is_navigation, matches_article, path, strip_suffix
 from kiteloom.functions.windows import Window
 from kiteloom.operators.records import collapse_twins, dedupe, error_rollup
 from kiteloom.sources import embedded, feeds, html, sitemaps
@@ -197,21 +197,22 @@ def collect_embedded(raw: DataFrame, window: Window) -> tuple[DataFrame, DataFra
 
 
 def sitemap_candidates(entries: DataFrame) -> DataFrame:
-    """Entries(site, pattern, loc, lastmod_us) on article paths, newest first, with `rank` within the site."""
-    own = entries.filter(matches_article(path(F.col("loc")), F.col("pattern")) & ~is_navigation(path(F.col("loc"))))
-    order = W.partitionBy("site").orderBy(F.col("lastmod_us").desc_nulls_last(), "loc")
-    return own.withColumn("rank", F.row_number().over(order))
+    """Entries(site, pattern, loc, lastmod_us) on article paths."""
+    return entries.filter(matches_article(path(F.col("loc")), F.col("pattern")) & ~is_navigation(path(F.col("loc"))))
 
 
 def sitemap_detail(candidates: DataFrame, start_us: int) -> DataFrame:
-    """Candidates worth a look at their page: those not older than the slack before the window, at most the cap.
+    """Candidates worth a look at their page: those not older than the slack before the window, newest first, at most the cap.
 
-    An old entry ends the list, and with it the undated ones, which come last.
+    An old entry ends the list, and with it the undated ones, which come last. The cap is applied before the
+    rows of a site meet.
     """
     limit = start_us - LASTMOD_SLACK_DAYS * 86_400_000_000
-    old = F.max((F.col("lastmod_us") < limit).cast("int")).over(W.partitionBy("site"))
+    old = candidates.groupBy("site").agg(F.max((F.col("lastmod_us") < limit).cast("int")).alias("_old"))
     fresh = (F.col("lastmod_us") >= limit) | (F.col("lastmod_us").isNull() & (F.coalesce("_old", F.lit(0)) == 0))
-    return candidates.withColumn("_old", old).filter(fresh & (F.col("rank") <= DETAIL_CAP_SITEMAP)).drop("_old")
+    order = W.partitionBy("site").orderBy(F.col("lastmod_us").desc_nulls_last(), "loc")
+    kept = candidates.join(old, "site").filter(fresh).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= DETAIL_CAP_SITEMAP)
+    return kept.select(*candidates.columns)
 
 
 def collect_sitemaps(raw: DataFrame, pages: DataFrame, known: DataFrame, window: Window) -> tuple[DataFrame, DataFrame]:
@@ -305,7 +306,3 @@ def collected(parts: list[tuple[DataFrame, DataFrame]], language: str = "ko") ->
     counts = rows.groupBy("site").agg(F.count("*").alias("n_articles"))
     outcomes = reduce(DataFrame.unionByName, [o.withColumn("ord", F.lit(i)) for i, (_, o) in enumerate(parts)]).join(counts, "site", "left")
     return articles, error_rollup(outcomes.withColumnRenamed("newest_us", "newest_seen"))
-
-
-def host_of(url: str) -> Column:
-    return host(F.col(url))

@@ -8,6 +8,7 @@ import xml.etree.ElementTree as ET
 
 ITEM = "struct<title:string,link:string,summary:string,author:string,published_raw:string>"
 FEED_RESULT = f"struct<items:array<{ITEM}>,error:string>"
+# Fixed value: bytes that XML does not allow.
 _CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 
 

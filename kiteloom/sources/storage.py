@@ -49,9 +49,12 @@ def save_sites(sites: DataFrame, path: str) -> None:
 
 
 def write_daily(articles: DataFrame, path: str, tz: str = "Asia/Seoul", end_hour: int = 12) -> None:
-    """JSON lines partitioned by window day, newest first within a file; the body is never written."""
+    """JSON lines partitioned by window day, newest first within a file; the body is never written.
+
+    Rebalancing gathers small days into one file each and splits a day that is too large for one task.
+    """
     named = articles.drop("body").withColumn("day", window_day(F.col("published_at"), tz, end_hour))
-    named.repartition("day").sortWithinPartitions("day", F.col("published_at").desc(), "seq").write.mode("overwrite").option(
+    named.hint("rebalance", "day").sortWithinPartitions("day", F.col("published_at").desc(), "seq").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("day").json(path)
 
