@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kiteloom.llm.batches import slices
+
 #: Words in a row that make a leak.
 MIN_WORDS = 12
 #: Characters of a q-gram.
@@ -155,18 +157,12 @@ def _search(item_ids: list[int], item_texts: list[str]):
         built = ItemIndex(item_ids, item_texts)
         for batch in batches:
             ids, texts = batch["doc_id"].to_numpy(), batch["words"].tolist()
-            start = 0
-            while start < len(texts):
-                end, size = start, 0
-                while end < len(texts) and (end == start or size + len(texts[end]) <= CHUNK_CHARS):
-                    size += len(texts[end])
-                    end += 1
-                pairs = leaks_in(built, texts[start:end])
+            for part in slices(texts, CHUNK_CHARS):
+                pairs = leaks_in(built, texts[part])
                 yield pd.DataFrame(
-                    {"doc_id": [ids[start + d] for d, _ in pairs], "item_id": [built.ids[i] for _, i in pairs]},
+                    {"doc_id": [ids[part.start + d] for d, _ in pairs], "item_id": [built.ids[i] for _, i in pairs]},
                     dtype="int64",
                 )
-                start = end
 
     return run
 

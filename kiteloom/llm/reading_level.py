@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kiteloom.llm.batches import slices
+
 #: Graded documents read for fitting, pairs per graded document, and bins of the hashed words.
 MAX_GRADED, PAIRS_PER_DOC, BINS = 6000, 12, 1 << 15
 #: Iterations of the ranker and weight of its penalty.
@@ -155,8 +157,10 @@ def level_batch(vocabulary: np.ndarray, syntax: np.ndarray, knots: list):
     model = ReadingModel(vocabulary, syntax, knots)
 
     def run(text: pd.Series) -> pd.DataFrame:
-        level, score = model.levels([t or "" for t in text])
-        return pd.DataFrame({"band": level, "score": score})
+        values = [t or "" for t in text]
+        parts = [model.levels(values[part]) for part in slices(values)]
+        level = np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)])
+        return pd.DataFrame({"band": level, "score": np.concatenate([np.zeros(0), *(p[1] for p in parts)])})
 
     return run
 
