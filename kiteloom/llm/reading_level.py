@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from kiteloom.llm.batches import slices
 
 #: Graded documents read for fitting, pairs per graded document, and bins of the hashed words.
-MAX_GRADED, PAIRS_PER_DOC, BINS = 6000, 12, 1 << 15
-#: Iterations of the ranker and weight of its penalty.
-ITERATIONS, PENALTY = 120, 2e-4
+MAX_GRADED, PAIRS_PER_DOC, BINS = 12_000, 40, 1 << 15
+#: Iterations of the ranker (few, which keeps it from learning the noise of the grades) and weight of its penalty.
+ITERATIONS, PENALTY = 20, 2e-4
 #: Graded documents that a language needs for a calibration of its own.
 LEAST_BY_LANGUAGE = 40
 LOWEST, HIGHEST = 1, 4
