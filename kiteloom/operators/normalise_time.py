@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kiteloom.functions.civil import ntz_micros
 from kiteloom.functions.instants import attach_zones, local_to_utc, with_instant
+from kiteloom.plans.runtime import spread
 
 
 def raw_instants(df: DataFrame, sites: DataFrame, key: str, raw: str = "published_raw", fetched: str = "fetched_at") -> DataFrame:
@@ -22,7 +23,7 @@ def raw_instants(df: DataFrame, sites: DataFrame, key: str, raw: str = "publishe
         F.col(raw).alias("raw"),
         ntz_micros(F.col(fetched)).alias("fetched_us"),
     ).filter(F.col("raw").isNotNull())
-    zoned = with_instant(attach_zones(slim, sites), "raw", "fetched_us")
+    zoned = with_instant(attach_zones(spread(slim), sites), "raw", "fetched_us")
     return zoned.select("rec_id", "utc_us").filter(F.col("utc_us").isNotNull())
 
 

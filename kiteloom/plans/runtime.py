@@ -24,6 +24,15 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where its scan has fewer partitions than there are cores, else unchanged.
+
+    For parsers and models, whose work outweighs moving a few files. A table of many files keeps its partitions.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; only where it is unset (tests), a folder of our own."""
     sc = spark.sparkContext

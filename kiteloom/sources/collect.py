@@ -18,6 +18,7 @@ from kiteloom.functions.dates import parse_date_column, zone
 from kiteloom.functions.urls import canonical_url, is_navigation, matches_article, path, strip_suffix
 from kiteloom.functions.windows import Window
 from kiteloom.operators.records import collapse_twins, dedupe, error_rollup
+from kiteloom.plans.runtime import spread
 from kiteloom.sources import embedded, feeds, html, sitemaps
 
 FEED_TEXT, FEED_SUBTITLE = 6000, 300
@@ -57,7 +58,7 @@ def decoded(content: Column, content_type: Column) -> Column:
 def parsed_feeds(raw: DataFrame, content: str = "content") -> DataFrame:
     """Adds `feed`: items and error of each document (bytes)."""
     run = F.pandas_udf(lambda c: _rows(lambda x: feeds.read_feed(None if x is None else bytes(x) if not isinstance(x, str) else x), c), feeds.FEED_RESULT)
-    return raw.withColumn("feed", run(F.col(content)))
+    return spread(raw).withColumn("feed", run(F.col(content)))
 
 
 def json_feed_items(raw: DataFrame, text: str) -> DataFrame:
@@ -74,7 +75,7 @@ def json_feed_items(raw: DataFrame, text: str) -> DataFrame:
 
 def parsed_pages(raw: DataFrame, text: str = "text") -> DataFrame:
     """Adds `meta`: what each page says about itself."""
-    return raw.withColumn("meta", F.pandas_udf(lambda t: _rows(html.page_meta, t), META)(F.col(text)))
+    return spread(raw).withColumn("meta", F.pandas_udf(lambda t: _rows(html.page_meta, t), META)(F.col(text)))
 
 
 def parsed_embedded(raw: DataFrame, text: str, base: str, params: str) -> DataFrame:
@@ -99,7 +100,7 @@ def parsed_lists(raw: DataFrame, text: str, base: str, pattern: str, tz: str, no
             return {"entries": [], "error": f"{type(e).__name__}: {e}"}
 
     run = F.pandas_udf(lambda *s: _rows(one, *s), ENTRIES)
-    return raw.withColumn("list", run(text, base, pattern, tz, now_us))
+    return spread(raw).withColumn("list", run(text, base, pattern, tz, now_us))
 
 
 def text_of(markup: Column, limit: int | None = None, unescape: bool = False) -> Column:
