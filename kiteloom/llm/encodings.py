@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kiteloom.plans.runtime import spread
+
 #: Records read for fitting, per column.
 SAMPLE_ROWS = 1500
 #: Bins of the hashed byte bigrams.
@@ -299,7 +301,7 @@ def garbled_values(parts: list[tuple[str, DataFrame, str, str]], model: ChainMod
         slim = df.select(F.col(key).cast("long").alias("rec_id"), F.col(column).alias("value")).filter(
             F.col("value").rlike(r"[^\x00-\x7f]|\?")
         )
-        found = with_repair(slim, "value", model).filter(F.col("repair.chain").isNotNull())
+        found = with_repair(spread(slim), "value", model).filter(F.col("repair.chain").isNotNull())
         rows = found.select(
             F.lit(tab).alias("tab"), "rec_id", F.lit(column).alias("field"),
             F.col("repair.chain").alias("chain"), F.col("repair.fixed").alias("fixed"), F.col("repair.whole").alias("whole"),

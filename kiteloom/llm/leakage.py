@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kiteloom.llm.batches import slices
+from kiteloom.plans.runtime import spread
 
 #: Words in a row that make a leak.
 MIN_WORDS = 12
@@ -190,7 +191,7 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
         if not rows:
             continue
         search = _search([r[0] for r in rows], [r[1] for r in rows])
-        found = docs.mapInPandas(search, "doc_id long, item_id long")
+        found = spread(docs).mapInPandas(search, "doc_id long, item_id long")
         result = found if result is None else result.unionByName(found)
     if result is None:
         return spark.createDataFrame([], "doc_id long, item_id long")

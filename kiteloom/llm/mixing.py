@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kiteloom.plans.runtime import cut_lineage, small_side
+from kiteloom.plans.runtime import cut_lineage, small_side, spread
 
 #: Tokens of a block, blocks of an output shard, and parts of a source whose offsets are summed alone.
 BLOCK_TOKENS, SHARD_BLOCKS, BUCKETS = 256, 4096, 1024
@@ -52,7 +52,7 @@ def token_counts(documents: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, token
     with open(f"{tokenizer_dir}/{tokenizer_file}", "rb") as f:
         lines = f.read()
     slim = documents.select(F.col("doc_id").cast("long"), "channel", "text").filter(F.col("doc_id").isNotNull())
-    return slim.mapInPandas(_count_tokens(lines), "doc_id long, channel string, n_tokens long")
+    return spread(slim).mapInPandas(_count_tokens(lines), "doc_id long, channel string, n_tokens long")
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:

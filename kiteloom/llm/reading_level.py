@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiteloom.llm.batches import slices
+from kiteloom.plans.runtime import spread
 
 #: Graded documents read for fitting, pairs per graded document, and bins of the hashed words.
 MAX_GRADED, PAIRS_PER_DOC, BINS = 12_000, 40, 1 << 15
@@ -188,7 +189,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, model: ReadingModel
     """
     model = model or fit_reading_model(documents, labels)
     run = F.pandas_udf(level_batch(model.vocabulary, model.syntax, model.knots), LEVEL)
-    return documents.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), run("text").alias("l")).select(
+    slim = documents.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
+    return spread(slim).select("doc_id", run("text").alias("l")).select(
         "doc_id", F.col("l.band").alias("band"), F.round("l.score", 4).alias("score")
     )
 
