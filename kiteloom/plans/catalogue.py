@@ -183,7 +183,7 @@ def recheck_rota(spark, sf_dir):
 
 
 def registry_rows(spark, sf_dir):
-    return storage.normalise_sites(load(spark, sf_dir, "sites"))
+    return storage.normalise_sites(load(spark, sf_dir, "sites")).drop("params_ok")
 
 
 def scan_report_by_site(spark, sf_dir):
@@ -437,6 +437,8 @@ def oracles() -> dict[str, str]:
         "locale_path_variants": f"""WITH p AS (SELECT item_id, {_LINK_PATH} AS p FROM feed_items WHERE link IS NOT NULL), s AS (SELECT *, list_filter(string_split(p, '/'), lambda x: x <> '') AS s FROM p),
  m AS (SELECT *, coalesce(regexp_matches(s[1], '^[a-z]{{2}}(?:[-_][A-Za-z]{{2,4}})?$'), false) AS l1, coalesce(regexp_matches(s[2], '^[a-z]{{2}}(?:[-_][A-Za-z]{{2,4}})?$'), false) AS l2 FROM s)
  SELECT item_id, CASE WHEN l1 AND l2 THEN p || ' /' || array_to_string(s[2:], '/') || ' /' || array_to_string(s[3:], '/') WHEN l1 THEN p || ' /' || array_to_string(s[2:], '/') ELSE p END AS variants FROM m""",
+        "registry_rows": "SELECT trim(name) AS name, trim(url) AS url, coalesce(nullif(trim(fetcher), ''), 'feed') AS fetcher, coalesce(nullif(trim(source_url), ''), trim(url)) AS source_url, nullif(trim(tz), '') AS tz, nullif(trim(params), '') AS params, coalesce(note, '') AS note, NOT (coalesce(enabled, '') IN ('0', 'false') OR (coalesce(enabled, '') <> '' AND trim(enabled) = '')) AS enabled FROM sites WHERE trim(name) <> ''",
+        "path_shapes_top8": f"WITH p AS (SELECT seq, list_filter(string_split({_PATH.format('url')}, '/'), lambda x: x <> '') AS s FROM articles), h AS (SELECT seq, '^/' || array_to_string(list_transform(s, lambda x: CASE WHEN regexp_matches(x, '\\.[A-Za-z]{{1,5}}$') THEN '[^/]+\\.' || regexp_extract(x, '\\.([A-Za-z]{{1,5}})$', 1) WHEN length(x) >= 6 AND regexp_matches(x, '[\\p{{L}}\\p{{N}}]') THEN '[^/]+' ELSE regexp_replace(x, '([^A-Za-z0-9_%!\"'',/:;<=>@`])', '\\\\\\1', 'g') END), '/') || '/?$' AS shape FROM p WHERE len(s) BETWEEN 1 AND 4), t AS (SELECT shape, count(*) AS n, min(seq) AS first_seq FROM h GROUP BY shape ORDER BY n DESC, first_seq LIMIT 8) SELECT * FROM t WHERE n >= 3",
         "site_pattern_matches": f"WITH r AS (SELECT trim(name) AS site, regexp_extract(params, '\"pattern\" *: *\"((?:[^\"\\\\]|\\\\.)*)\"', 1) AS pattern FROM sites WHERE json_valid(params)), p AS (SELECT seq, site, {_PATH.format('url')} AS p FROM articles), s AS (SELECT *, list_filter(string_split(p, '/'), lambda x: x <> '') AS s FROM p), m AS (SELECT *, coalesce(regexp_matches(s[1], '^[a-z]{{2}}(?:[-_][A-Za-z]{{2,4}})?$'), false) AS l1, coalesce(regexp_matches(s[2], '^[a-z]{{2}}(?:[-_][A-Za-z]{{2,4}})?$'), false) AS l2 FROM s) SELECT seq, site FROM m JOIN r USING (site) WHERE pattern <> '' AND (regexp_matches(p, pattern) OR (l1 AND regexp_matches('/' || array_to_string(s[2:], '/'), pattern)) OR (l1 AND l2 AND regexp_matches('/' || array_to_string(s[3:], '/'), pattern)))",
         "nav_segment_filter": f"WITH p AS (SELECT site, list_filter(string_split({_LINK_PATH}, '/'), lambda x: x <> '') AS s FROM feed_items WHERE link IS NOT NULL) SELECT site, count(*) AS n FROM p WHERE NOT list_has_any(list_transform(s, lambda x: lower(x)), [" + ", ".join(f"'{w}'" for w in urls.NAV_SEGMENTS) + "]) GROUP BY site",
         "feed_items_rss": f"SELECT item_id, {items} FROM feed_items",
