@@ -110,3 +110,15 @@ def test_differing_words():
     assert history.differing_words("a cache b", "a cahce b") == [("cache", "cahce")]
     assert history.differing_words("part 1", "part 2") is None and history.differing_words("a b c", "a b") is None
     assert history.canonical_title("Lessons from the Cache - My Blog", "My Blog") == history.canonical_title("UPDATED: Learnings from a cache", "My Blog") == "lessons from cache"
+
+
+def test_batches_folded_into_a_store_equal_the_pass_over_all(spark, model, tmp_path):
+    rows = repeat_rows(spark, ARTICLES).filter("batch_id IS NOT NULL")
+    want = sorted(map(tuple, history.repeated_articles(rows, model).collect()))
+    assert want == [(1, 3), (1, 4), (2, 8), (2, 13)]
+    got = []
+    for b in (9, 10, 12, 15):
+        got += map(tuple, history.match_batch(str(tmp_path), rows.filter(F.col("batch_id") == b), model).collect())
+    assert sorted(got) == want
+    with pytest.raises(ValueError):
+        history.match_batch(str(tmp_path), rows.filter("batch_id = 12"), model)
