@@ -113,12 +113,26 @@ def test_differing_words():
 
 
 def test_batches_folded_into_a_store_equal_the_pass_over_all(spark, model, tmp_path):
-    rows = repeat_rows(spark, ARTICLES).filter("batch_id IS NOT NULL")
+    # "caches" is in one title only until batch 17: 15 repeats 12, and no later batch changes that; 20 repeats 15 only
+    late = [(20, 12, "s", "Moving the cached topic to Lopata Lakipa", "https://x/20"), (21, 15, "s", "Moving the caches topic to Lopata Lakipa", "https://x/21"),
+            (22, 17, "s", "Which caches do fill", "https://x/22"), (23, 17, "s", "Why cached things stay", "https://x/23"), (24, 20, "s", "Moving the caches topic to Lopata Lakipa", "https://x/24")]
+    rows = repeat_rows(spark, ARTICLES + late).filter("batch_id IS NOT NULL")
     want = sorted(map(tuple, history.repeated_articles(rows, model).collect()))
-    assert want == [(1, 3), (1, 4), (2, 8), (2, 13)]
+    assert want == [(1, 3), (1, 4), (2, 8), (2, 13), (20, 21), (21, 24)]
     got = []
-    for b in (9, 10, 12, 15):
+    for b in (9, 10, 12, 15, 17, 20):
         got += map(tuple, history.match_batch(str(tmp_path), rows.filter(F.col("batch_id") == b), model).collect())
     assert sorted(got) == want
+    assert list(map(tuple, history.match_batch(str(tmp_path), rows.filter("batch_id = 20"), model).collect())) == [(21, 24)]
     with pytest.raises(ValueError):
         history.match_batch(str(tmp_path), rows.filter("batch_id = 12"), model)
+
+
+def test_rare_words_and_two_typos_of_one_word_are_misspellings(spark, model):
+    rows = [(1, 1, "s", "Mameri Gabaki: a primary server for every bukcet", "u1"), (2, 2, "s", "Mameri Gabaki: a primary server for every bucekt", "u2"),
+            (3, 1, "s", "Testing the zymurgy of Ganede Gotada", "u3"), (4, 2, "s", "Testing the zymrugy of Ganede Gotada", "u4"), (5, 2, "s", "Testing the zymurgy of Ganeda Gotada", "u5")]
+    # both forms in two titles each beside a common word
+    rows += [(6, 1, "t", "Moving the sokcet to Lomeva Roteta", "u6"), (7, 2, "t", "Moving the socekt to Lomeva Roteta", "u7"), (8, 1, "u", "sokcet", "u8"), (9, 1, "v", "socekt", "u9")]
+    rows += [(100 + i, 0, f"w{i}", "socket", f"w{i}") for i in range(20)]
+    got = sorted(map(tuple, history.repeated_articles(repeat_rows(spark, rows).filter("not url like 'https:%'"), model).collect()))
+    assert got == [(1, 2), (3, 4), (6, 7)]
