@@ -93,3 +93,8 @@ def test_messy_tables(spark, model):
     rates = {r.site: (r.n_values, r.n_cut) for r in truncation.truncation_rates(got).collect()}
     assert rates == {"a": (2, 1), None: (2, 2), "b": (1, 0)}
     assert truncation.truncation_verdicts([("articles", df.limit(0), "seq", "subtitle")]).count() == 0
+
+
+def test_items_cut_inside_a_word(model):
+    assert model.cut(Tail("- one item\n- second it")) and model.cut(Tail("Notes\n\n1. the queue\n2. moved in produc"))
+    assert not model.cut(Tail("- one item\n- second item")) and not model.cut(Tail("# Notes on the queue")) and not model.cut(Tail("- a\n- the Parse"))
