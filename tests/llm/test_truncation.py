@@ -98,3 +98,22 @@ def test_messy_tables(spark, model):
 def test_items_cut_inside_a_word(model):
     assert model.cut(Tail("- one item\n- second it")) and model.cut(Tail("Notes\n\n1. the queue\n2. moved in produc"))
     assert not model.cut(Tail("- one item\n- second item")) and not model.cut(Tail("# Notes on the queue")) and not model.cut(Tail("- a\n- the Parse"))
+
+
+def test_an_inserted_or_dropped_word_does_not_void_the_alignment():
+    long = "Luckily, each buffer now reads its own endpoint before the test starts and the worker of the gateway stops. All is well."
+    short = "each buffer now reads its own endpoint before the test starts and the worker of the gat"
+    assert aligned_end(short, long) == "cut" and aligned_end("Luckily, then " + short, long) == "cut"
+    assert aligned_end(short + "eway stops", long) == "whole"
+    assert aligned_end(long.removeprefix("Luckily, "), long) is None and aligned_end(long, long.removeprefix("Luckily, ")) is None
+    rng = random.Random(3)
+    for _ in range(60):
+        b = [rng.choice("abcd") for _ in range(rng.randint(3, 12))]
+        a = list(b[: rng.randint(1, len(b))])
+        a[rng.randrange(len(a))] = rng.choice("abcd")
+        table = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                table[i][j] = min(table[i - 1][j] + 1, table[i][j - 1] + 1, table[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+        ends = truncation.banded_ends(a, b, 20)
+        assert min(ends.values()) == min(table[-1]) and all(edits >= table[-1][j] for j, edits in ends.items())
