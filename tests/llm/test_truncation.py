@@ -117,3 +117,22 @@ def test_an_inserted_or_dropped_word_does_not_void_the_alignment():
                 table[i][j] = min(table[i - 1][j] + 1, table[i][j - 1] + 1, table[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
         ends = truncation.banded_ends(a, b, 20)
         assert min(ends.values()) == min(table[-1]) and all(edits >= table[-1][j] for j, edits in ends.items())
+
+
+def test_every_longer_text_of_a_bucket_is_met(spark, monkeypatch):
+    monkeypatch.setattr(truncation, "BUCKET_ROWS", 7)
+    rng = random.Random(8)
+    rows = [(i, rng.randint(5, 60), i % 3) for i in range(120)] + [(200, 40, 9), (201, 50, 9), (202, 49, 9), (203, 40, 9)]
+    banded = spark.createDataFrame(rows, "text_id long, n_words long, band long")
+    got = sorted((r.text_id, r.long_id) for r in truncation.bucket_pairs(banded).collect())
+    assert got == sorted((i, j) for i, n, b in rows for j, m, c in rows if i != j and b == c and 0.8 * m <= n <= m)
+
+
+def test_a_longer_unrelated_text_in_the_bucket_hides_no_copy(spark, model):
+    words = [f"{a}{b}" for a in NOUNS for b in VERBS]
+    random.Random(3).shuffle(words)  # each bucket that the copies share holds a longer text
+    start = " ".join(words[:30])
+    others = [" ".join(words[:25] + random.Random(k).sample(words[30:], 10)) for k in range(12)]
+    rows = [(1, start + " queue. Done.", "a"), (2, start[:-3], "a"), *((3 + i, t, "a") for i, t in enumerate(others))]
+    got = truncation.truncation_verdicts([("articles", spark.createDataFrame(rows, "seq long, subtitle string, site string"), "seq", "subtitle")], model)
+    assert {r.rec_id: (r.cut, r.how) for r in got.collect()}[2] == (True, "copy")
