@@ -41,7 +41,7 @@ SHAPES = {
     "escaped_cut": rf"&(?:amp;)?lt;/?(?:(?:{_TAGS})(?:\s(?:(?!&(?:amp;)?gt;).)*)?)?(?:&(?:g|gt)?)?\Z",
     "entity": r"&(?:amp;)?(?:\#\d{1,7}|\#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,30});",
     "fence": r"^[ ]{0,3}(?:```|~~~)[^\n`]*$",
-    "math": r"\$\$(?:[^$]|\$(?!\$)){1,400}\$\$|\\\[.{1,400}?\\\]|\\\(.{1,200}?\\\)|(?<![\w\\$])\$(?=[^$\n]{0,200}[\\^_={}])(?=\S)[^$\n]{1,200}(?<=\S)\$(?!\w)",
+    "math": r"\$\$(?:[^$]|\$(?!\$))+\$\$|\\\[.{1,400}?\\\]|\\\[(?:(?!\\\[).)+?\\\]|\\\(.{1,200}?\\\)|\\\((?:(?!\\\().)+?\\\)|(?<![\w\\$])\$(?=[^$\n]*[\\^_={}])(?=\S)[^$\n]+(?<=\S)\$(?!\w)",
     "environment": r"\\(?:begin|end)\{[a-zA-Z]+\*?\}(?:\[[^\]\n]*\])?",
     "item": r"\\item\b(?:\[[^\]\n]*\])?",
     "citation": r"~?\\(?:cite[tp]?|ref|eqref|label|pageref)\{[^{}\n]*\}",
@@ -51,16 +51,16 @@ SHAPES = {
     "wiki_heading": r"^={2,6}[ \t]*\S[^\n]*?={2,6}[ \t]*$",
     "wiki_table": r"^(?:\{\||\|\}|\|-)[^\n]*$",
     "wiki_file": r"\[\[(?:File|Image|Datei|Archivo|Category|Kategorie|Categoría|파일|분류):[^\[\]\n]*\]\]",
-    "wiki_link": r"\[\[[^\[\]\n|]{1,200}(?:\|[^\[\]\n]{0,200})?\]\]",
+    "wiki_link": r"\[\[[^\[\]\n|]+(?:\|[^\[\]\n]*)?\]\]",
     "wiki_url": r"(?<!\])\[https?://[^\s\]]+[ ][^\]\n]+\]",
-    "wiki_template": r"\{\{[^{}|\n]{1,80}\|[^{}\n]{0,300}\}\}",
+    "wiki_template": r"\{\{[^{}|\n]+\|[^{}\n]*\}\}",
     "wiki_quotes": r"'{5}|'''|(?<![\w'])''(?=[^\s'])|(?<=[^\s'\d])''(?![\w'])",
-    "image": r"!\[[^\[\]\n]{0,300}\]\([^()\s]{1,500}(?:[ ]+\"[^\"\n]*\")?\)",
-    "link": r"(?<![!\[])\[[^\[\]\n]{1,300}\]\((?:[^()\s]|\([^()\s]*\)){1,500}(?:[ ]+\"[^\"\n]*\")?\)|(?<=[\]\w])\]\(https?:[^\s)]*\Z|(?<![!\[\w])\[[^\[\]\n]{1,300}\]\([^()\s]{0,500}\Z|(?<![!\[\w])\[[^\[\]\n]{1,100}\]\[[\w-]{1,30}\]",
-    "code": r"(?<![`\\])`(?!`)[^`\n]{1,300}`(?!`)|``[^\n]{1,300}?``(?!`)",
-    "strike": r"~~(?=\S)[^~\n]{1,400}?(?<=\S)~~",
-    "strong": r"(?<![*\w\\])\*\*(?=[^\s*])[^\n]{1,400}?(?<=[^\s*])\*\*(?!\*)|(?<![\w_\\])__(?=[^\s_])[^\n]{1,400}?(?<=[^\s_])__(?![\w_])",
-    "emphasis": r"(?<![*\w\\])\*(?=[^\s*])[^*\n]{1,200}?(?<=[^\s*])\*(?![*\w])|(?<![\w_\\/])_(?=[^\s_])[^_\n]{1,200}?(?<=[^\s_])_(?![\w_])",
+    "image": r"!\[[^\[\]\n]*\]\([^()\s]+(?:[ ]+\"[^\"\n]*\")?\)",
+    "link": r"(?<![!\[])\[[^\[\]\n]+\]\((?:[^()\s]|\([^()\s]*\))+(?:[ ]+\"[^\"\n]*\")?\)|(?<=[\]\w])\]\(https?:[^\s)]*\Z|(?<![!\[\w])\[[^\[\]\n]+\]\([^()\s]*\Z|(?<![!\[\w])\[[^\[\]\n]+\]\[[\w-]+\]",
+    "code": r"(?<![`\\])`(?!`)[^`\n]+`(?!`)|``[^\n]{1,300}?``(?!`)|``(?:(?!``)[^\n])+``(?!`)",
+    "strike": r"~~(?=\S)[^~\n]+(?<=\S)~~",
+    "strong": r"(?<![*\w\\])\*\*(?=[^\s*])(?:[^\n]{1,400}?|(?:(?!\*\*)[^\n])+)(?<=[^\s*])\*\*(?!\*)|(?<![\w_\\])__(?=[^\s_])(?:[^\n]{1,400}?|(?:(?!__)[^\n])+)(?<=[^\s_])__(?![\w_])",
+    "emphasis": r"(?<![*\w\\])\*(?=[^\s*])[^*\n]+(?<=[^\s*])\*(?![*\w])|(?<![\w_\\/])_(?=[^\s_])[^_\n]+(?<=[^\s_])_(?![\w_])",
     "heading": r"^[ ]{0,3}\#{1,6}[ \t]+(?=\S)",
     "bullet": r"^[ \t]{0,8}(?:[*+\-]|[*\#:;]{1,4})[ \t]+(?=\S)",
     "number": r"^[ \t]{0,8}\d{1,3}[.)][ \t]+(?=\S)",
@@ -72,7 +72,7 @@ SHAPES = {
 }
 TOKEN = re.compile("|".join(f"(?P<{name}>{shape})" for name, shape in SHAPES.items()), re.MULTILINE | re.DOTALL | re.IGNORECASE)
 #: Cheap superset of all markup, for the JVM: a value without any of these holds none.
-TRIGGER = r"[<&$`\\\[{|]|\*\*|~~|__|''|(?m)^[ \t]*(?:[*+#:;>=-]+|[0-9]{1,3}[.)])[ \t]|(?<![\w*])\*[^\s*]|(?<![\w_])_[^\s_]|^[ \t]*[-*_]{3,}[ \t]*$"
+TRIGGER = r"[<&$`\\\[{|]|\*\*|~~|__|''|(?m)^[ \t]*(?:[*+#:;>=-]+|\p{Nd}{1,3}[.)])[ \t]|^[ ]{0,3}>|^={2,6}[^\n]*={2,6}[ \t]*$|(?<![\w*])\*[^\s*]|(?<![\w_])_[^\s_]|^[ \t]*[-*_]{3,}[ \t]*$"
 
 
 #: What has been worked out once; plain dictionaries travel to the executors with the functions.

@@ -1,6 +1,7 @@
 """Problem 1: signs of markup, the content region, and the structure that cleaning keeps."""
 
 import random
+import time
 
 import pytest
 
@@ -76,3 +77,18 @@ def test_messy_tables(spark):
 def test_the_jvm_filter_lets_all_markup_through(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(MARKED)], "item_id long, summary string")
     assert markup.marked_values([("t", df, "item_id", "summary")]).count() == len(MARKED)
+
+
+def test_trigger_lets_all_markup_through_and_long_constructs_count(spark):
+    long = "some words of a span " * 40 + "end"
+    values = ["==Heading==", ">quote", "１. first\n２. second", f"$$x = {long}$$", f"`{long}`", f"``{long}``", f"*{long}*", f"_{long}_", f"**{long}**", f"__{long}__", f"~~{long}~~", f"\\[{long}\\]", f"\\({long}\\)", f"[[{long}]]", f"[{long}](https://x.example/a)"]
+    prose = ["a = b", "It is 5 > 3 here.", "plain text"]
+    df = spark.createDataFrame(list(enumerate(values + prose)), "seq long, body string")
+    assert sorted(r.rec_id for r in markup.marked_values([("articles", df, "seq", "body")]).collect()) == list(range(len(values)))
+
+
+def test_unclosed_marks_cost_linear_time():
+    for mark in ("$$ a", "\\[ a", "\\( a", "`` a", "**a ", "__a ", "[[a", "[a", "{{a", "*a ", "~~a "):
+        began = time.process_time()
+        markup.markup_tokens(mark * 3000)
+        assert time.process_time() - began < 5, mark
