@@ -1,9 +1,12 @@
-"""Slices of a batch of texts, so that working memory follows a bound and not the texts' lengths."""
+"""Bounded parts of texts: slices of a batch, so that working memory follows a bound, and samples for fitting."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 #: Characters that one slice holds at most; a longer text is a slice of its own.
 SLICE_CHARS = 2_000_000
 
@@ -18,3 +21,13 @@ def slices(texts: list[str], limit: int | None = None) -> Iterator[slice]:
         size += len(text)
     if begin < len(texts):
         yield slice(begin, len(texts))
+
+
+def sampled_texts(df: DataFrame, name: str, n: int, wanted: Column) -> list[str]:
+    """At most `n` texts of a column for fitting, in the order of a hash of their content.
+
+    The hash makes the sample independent of files and partitions; equal texts stand side by side, so copies do not
+    crowd others out of the order but count as often as they occur.
+    """
+    drawn = df.select(F.col(name).alias("t")).filter(wanted).select("t", F.xxhash64("t").alias("h"))
+    return [r[0] for r in drawn.orderBy("h").limit(n).collect()]

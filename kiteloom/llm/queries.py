@@ -13,6 +13,8 @@ from kiteloom.plans.runtime import load
 MARKUP_FIELDS = [("feed_items", "item_id", "summary"), ("articles", "seq", "body"), ("articles", "seq", "subtitle")]
 ENCODING_FIELDS = [("articles", "seq", "title"), ("page_meta", "page_id", "title"), ("feed_items", "item_id", "summary")]
 TRUNCATION_FIELDS = [("articles", "seq", "subtitle"), ("feed_items", "item_id", "summary")]
+#: Longer texts that a cut value may begin like.
+PARTNER_FIELDS = [("articles", "seq", "body"), ("page_meta", "page_id", "subtitle")]
 RESIDUE_FIELDS = [("articles", "seq", "body"), ("page_meta", "page_id", "subtitle")]
 CASE = ["tab", "rec_id", "field"]
 
@@ -37,12 +39,16 @@ def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encodings.garbled_values(_parts(spark, sf_dir, ENCODING_FIELDS))
 
 
+def _truncations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_verdicts(_parts(spark, sf_dir, TRUNCATION_FIELDS), partners=_parts(spark, sf_dir, PARTNER_FIELDS))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.truncation_verdicts(_parts(spark, sf_dir, TRUNCATION_FIELDS)).filter("cut").select(*CASE)
+    return _truncations(spark, sf_dir).filter("cut").select(*CASE)
 
 
 def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.truncation_rates(truncation.truncation_verdicts(_parts(spark, sf_dir, TRUNCATION_FIELDS)))
+    return truncation.truncation_rates(_truncations(spark, sf_dir))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
