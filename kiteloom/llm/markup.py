@@ -34,10 +34,10 @@ _ATTR = r"(?:\s[^<>]*|/)?"
 #: Token classes, tried in this order.
 SHAPES = {
     "comment": r"<!--(?:.*?-->|.*$)",
-    "ref": r"<(?:ref|nowiki)\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>|</?nowiki>",
+    "ref": r"</?(?:ref|nowiki)\b[^<>]*>",
     "tag": rf"</?(?:{_TAGS}){_ATTR}>",
-    "cut_tag": rf"</?(?:{_TAGS})?(?:\s[^<>]*)?\Z|<!-?\Z",
-    "escaped": rf"&(?:amp;)?lt;(?:/?(?:{_TAGS})(?:\s(?:(?!&(?:amp;)?gt;).)*?|/)?&(?:amp;)?gt;|!--.*?--&(?:amp;)?gt;)",
+    "cut_tag": rf"</?(?:{_TAGS})(?:\s[^<>]*)?\Z|</?\Z|<!-?\Z",
+    "escaped": rf"&(?:amp;)?lt;(?:/?(?:{_TAGS})(?:\s(?:(?!&(?:amp;)?[gl]t;).)*|/)?&(?:amp;)?gt;|!--(?:(?!--&|&(?:amp;)?lt;!--).)*--&(?:amp;)?gt;)",
     "escaped_cut": rf"&(?:amp;)?lt;/?(?:(?:{_TAGS})(?:\s(?:(?!&(?:amp;)?gt;).)*)?)?(?:&(?:g|gt)?)?\Z",
     "entity": r"&(?:amp;)?(?:\#\d{1,7}|\#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,30});",
     "fence": r"^[ ]{0,3}(?:```|~~~)[^\n`]*$",
@@ -70,7 +70,29 @@ SHAPES = {
     "rule": r"^[ ]{0,3}(?:-{3,}|\*{3,}|_{3,})[ ]*$",
     "sign": r"[<>]=?|[*~#|$\\_`]+|&(?=\W|\w+(?!\w*;))",
 }
-TOKEN = re.compile("|".join(f"(?P<{name}>{shape})" for name, shape in SHAPES.items()), re.MULTILINE | re.DOTALL | re.IGNORECASE)
+#: Shapes that stand at the start of a line, and the first signs of all others.
+AT_LINE = {"fence", "wiki_heading", "wiki_table", "heading", "bullet", "number", "quote", "table_rule", "table_row", "rule"}
+FIRST = {
+    "comment": "<", "ref": "<", "tag": "<", "cut_tag": "<", "escaped": "&", "escaped_cut": "&", "entity": "&", "math": "$\\", "environment": "\\", "item": "\\", "citation": "~\\",
+    "href": "\\", "command": "\\", "other_command": "\\", "wiki_file": "[", "wiki_link": "[", "wiki_url": "[", "wiki_template": "{", "wiki_quotes": "'", "image": "!", "link": "[]",
+    "code": "`", "strike": "~", "strong": "*_", "emphasis": "*_", "sign": "<>*~#|$\\_`&",
+}
+_FLAGS = re.MULTILINE | re.DOTALL | re.IGNORECASE
+_CANDIDATE = re.compile(r"^|[<>&$\\~\[\]{'!`*_#|]", re.MULTILINE)
+
+
+def _token_patterns(line: bool) -> dict[str, re.Pattern]:
+    """By first sign (or '' for any other), the shapes that may start there, in order."""
+    signs = sorted({c for chars in FIRST.values() for c in chars})
+    return {
+        c: re.compile("|".join(f"(?P<{n}>{shape})" for n, shape in SHAPES.items() if (line and n in AT_LINE) or c in FIRST.get(n, " ")) or r"(?!)", _FLAGS)
+        for c in signs
+    } | {"": re.compile("|".join(f"(?P<{n}>{SHAPES[n]})" for n in SHAPES if line and n in AT_LINE) or r"(?!)", _FLAGS)}
+
+
+_INLINE_TOKENS, _LINE_TOKENS = _token_patterns(False), _token_patterns(True)
+
+
 #: Cheap superset of all markup, for the JVM: a value without any of these holds none.
 TRIGGER = r"[<&$`\\\[{|]|\*\*|~~|__|''|(?m)^[ \t]*(?:[*+#:;>=-]+|\p{Nd}{1,3}[.)])[ \t]|^[ ]{0,3}>|^={2,6}[^\n]*={2,6}[ \t]*$|(?<![\w*])\*[^\s*]|(?<![\w_])_[^\s_]|^[ \t]*[-*_]{3,}[ \t]*$"
 
@@ -96,8 +118,26 @@ def token_class(kind: str, text: str) -> str:
 
 
 def markup_tokens(text: str) -> list[tuple[str, int, int]]:
-    """(class, start, end) of the markup tokens and signs of a text."""
-    return [(token_class(m.lastgroup, m[0]), m.start(), m.end()) for m in TOKEN.finditer(text)]
+    """(class, start, end) of the markup tokens and signs of a text.
+
+    Shapes are tried only at the starts of lines and at the signs that they begin with.
+    """
+    out, at, end = [], 0, len(text)
+    while at < end:
+        found = _CANDIDATE.search(text, at)
+        if found is None:
+            break
+        at = found.start()
+        if at >= end:
+            break
+        patterns = _LINE_TOKENS if at == 0 or text[at - 1] == "\n" else _INLINE_TOKENS
+        match = patterns.get(text[at], patterns[""]).match(text, at)
+        if match is None or match.end() == at:
+            at += 1
+            continue
+        out.append((token_class(match.lastgroup, match[0]), at, match.end()))
+        at = match.end()
+    return out
 
 
 def best_stretch(scores: list[float]) -> tuple[float, int, int]:
@@ -127,6 +167,17 @@ _PROSE_SIGNS = [
     "It costs 3 * 6 * 2 units per mirror.", "The type is List<int> in the registry.", "Use Map<String, Item> & keep C:\\temp\\new for now.",
     "Look at https://example.org/a_b/c~d?x=1&y=2 for more.", "The value is <= 5 or >= 9 in AT&T's case.", "Version 2 > version 1, snake_case_name and 5*x.",
 ]
+# Lines that prose opens like a list or parts by a rule.
+_PROSE_LINES = ["- said the operator, and left.", "3. Oktober war der Tag der Umstellung.", "* Prices may change.", "---", "1. The first point stands alone here."]
+# One example of each way to write markup; {s} is a sentence, {w} a short part of one.
+_FORMS = [
+    "<p>{s}</p>", "<p><b>{w}</b> {s}</p>", "<h2>{w}</h2><p>{s}</p>", "<ul><li>{s}</li><li>{s}</li></ul>", "<pre><code>{s}</code></pre>", "<blockquote>{s}</blockquote>",
+    "<table><tr><td>{s}</td><td>{s}</td></tr></table>", '<p>{s} <a href="/x">{w}</a> {s}</p>', '{s} <img src="/x.png" alt="{w}"/> {s}', "{s}<!-- {w} -->", "{s} &amp; {w}&nbsp;{w} &#8217;",
+    "&lt;p&gt;{s}&lt;/p&gt;", '{s} &lt;a href="x', '{s} <a href="https://x', "## {w}\n\n{s} **{w}**", "* {s}\n* {s}", "1. {s}\n2. {s}", "> {s}", "{s} `{w}` {s}", "```\n{s}\n```", "~~{w}~~ {s}", "*{w}* {s} _{w}_",
+    "{s} [{w}](https://x.example/a) {s}", "![{w}](https://x.example/a.png)", "| {w} | {w} |\n|---|---|\n| {w} | {w} |", "== {w} ==\n{s}", "'''{w}''' {s} ''{w}''", "{s} [[{w}|{w}]] {s}", "[[File:x.png|{w}]] {s}",
+    "{s} [https://x.example {w}] {s}", "{s}<ref>{w}</ref>", "{{|\n| {w} || {w} |\n|-\n|}}", "{{{{note|{w}}}}} {s}", "\\section{{{w}}} {s}", "{s} \\emph{{{w}}} {s}", "{s} \\cite{{x1}} {s}", "\\href{{x}}{{{w}}} {s}",
+    "\\begin{{itemize}}\n\\item {s}\n\\end{{itemize}}", "{s} $a_{{n}} = 1$ {s}", "\\[ L = \\lambda W \\] {s}", "\\usepackage{{x}} \\maketitle {s}", "{s}\n\n---\n\n{s}",
+]
 _LINKS = ["Home", "About", "Blog", "Log in", "Next", "Previous", "Archive", "Privacy", "Share"]
 
 
@@ -136,11 +187,7 @@ def labelled_page(rng: random.Random) -> list[tuple[str, str]]:
     content = []
     for _ in range(rng.randint(3, 8)):
         s = rng.choice(_SENTENCES)
-        content.append(rng.choice([
-            f"<p>{s}</p>", f"<p><b>{s}</b> {s}</p>", f"<h2>{s[:20]}</h2><p>{s}</p>", f"<ul><li>{s}</li><li>{s}</li></ul>",
-            f"<pre><code>{s}</code></pre>", f"<blockquote>{s}</blockquote>", f"<table><tr><td>{s}</td><td>{s}</td></tr></table>",
-            f'<p>{s} <a href="/x">{s[:12]}</a> {s}</p>', f"## {s[:20]}\n\n{s} **{s[:9].strip()}**\n\n", f"* {s}\n* {s}\n",
-        ]))
+        content.append(rng.choice(_FORMS).format(s=s, w=s[:12].strip()))
     return [
         (f'<div class="top"><nav><ul>{links}</ul></nav><script>var a=1;</script></div><div>', "frame"),
         ("\n".join(content), "content"),
@@ -148,71 +195,149 @@ def labelled_page(rng: random.Random) -> list[tuple[str, str]]:
     ]
 
 
-def region_class(kind: str, text: str, in_link: bool) -> str:
+#: Characters of a gap that count as one word in the evidence, so that distant signs do not add up.
+GAP_CHARS = 6
+#: What a value's evidence must have beyond any labelled prose.
+MARGIN = 0.5
+#: Blocks of nothing but links that make a menu where they stand in a row.
+MENU_BLOCKS = 3
+_MENU_FRAME = {"nav", "footer", "aside", "form", "script", "style", "noscript", "template", "head", "svg", "iframe", "button"}
+
+
+def evidence_score(tokens: list[tuple[str, int, int]], weights: dict[str, float]) -> float:
+    """Score of the stretch of tokens with the strongest evidence of markup; words between them score negative."""
+    best = running = 0.0
+    gap, at = weights["word"] / GAP_CHARS, 0
+    for kind, start, end in tokens:
+        running = max(running + gap * (start - at), 0.0) + weights[kind]
+        best = max(best, running)
+        at = end
+    return best
+
+
+def evidence_weights(seed: int = 13, values: int = 1500) -> dict[str, float]:
+    """Log odds of each token class in pages with markup against prose; 'word' is the cost of a word, 'least' the score that counts.
+
+    `least` lies MARGIN above the best stretch of any prose labelled here.
+    """
+    if "evidence" in _WEIGHTS:
+        return _WEIGHTS["evidence"]
+    rng, marked, prose, held = random.Random(seed), Counter(), Counter(), []
+    for i in range(values):
+        marked.update({kind for text, _ in labelled_page(rng) for kind, _, _ in markup_tokens(text)})
+        text = rng.choice(_PROSE_SIGNS) + " " + rng.choice(_SENTENCES)
+        if i % 40 == 0:
+            text = rng.choice([rng.choice(_PROSE_LINES) + "\n" + text, text + "\n" + rng.choice(_PROSE_LINES)])
+        held.append(markup_tokens(text))
+        prose.update({kind for kind, _, _ in held[-1]})
+    weights = {n: math.log((marked[n] + 1) / values) - math.log((prose[n] + 0.2) / values) for n in SHAPES}
+    weights["sign"] = min(max(weights["sign"], -1.0), -0.1)  # one sign alone undoes no list
+    weights["word"] = -0.1
+    weights["least"] = max(evidence_score(tokens, weights) for tokens in held) + MARGIN
+    _WEIGHTS["evidence"] = weights
+    return weights
+
+
+def region_class(kind: str, piece: str) -> str:
     """Class by which the region scan scores a token."""
-    if kind == "word":
-        return "linkword" if in_link else "word"
     if kind in ("tag", "escaped", "cut_tag", "escaped_cut"):
-        name = re.search(r"[a-zA-Z][a-zA-Z0-9]*", text.replace("&lt;", "<").replace("&amp;", ""))
-        name = name[0].lower() if name else ""
+        name, _ = _tag_name(piece)
         return "a" if name == "a" else "frame" if name in FRAME else "inline" if name in INLINE else "block"
     return "structure"
 
 
-def region_tokens(text: str) -> list[tuple[str, str, int, int]]:
-    """(token class, region class, start, end) of words and markup, in order."""
-    out, at, in_link = [], 0, False
+def region_elements(text: str, tokens: list[tuple[str, int, int]]) -> list[list]:
+    """[class, words, start, end] of the markup tokens and of the stretches of words between them.
 
-    def words(start: int, end: int) -> None:
-        for m in re.finditer(r"\S+", text[start:end]):
-            out.append(("word", region_class("word", "", in_link), start + m.start(), start + m.end()))
+    Words are 'word', or 'frameword' inside an element of the frame and in menus: MENU_BLOCKS or more blocks in
+    a row that hold links only. Links among other words are words.
+    """
+    out: list[list] = []
+    at, in_link, depth = 0, False, Counter()
+    block: list[int] = []  # the stretches of words in the current block
+    linked, plain = 0, 0
+    blocks: list[tuple[list[int], bool]] = []
+
+    def close() -> None:
+        nonlocal block, linked, plain
+        if block:
+            blocks.append((block, linked > 0 and plain == 0))
+        block, linked, plain = [], 0, 0
+
+    def words(upto: int) -> None:
+        nonlocal linked, plain
+        n = len(text[at:upto].split())
+        if n:
+            block.append(len(out))
+            linked, plain = linked + n * in_link, plain + n * (not in_link)
+            out.append(["frameword" if sum(depth.values()) else "word", n, at, upto])
 
-    for kind, start, end in markup_tokens(text):
+    for kind, start, end in tokens:
         if kind == "sign":
             continue
-        words(at, start)
+        words(start)
         piece = text[start:end]
-        cls = region_class(kind, piece, in_link)
+        cls = region_class(kind, piece)
         if cls == "a":
-            in_link = "/" not in piece[:6]
-        out.append((kind, cls, start, end))
+            in_link = not _tag_name(piece)[1]
+        elif cls in ("block", "frame"):
+            close()
+            name, closing = _tag_name(piece)
+            if name in _MENU_FRAME and kind in ("tag", "escaped"):
+                depth[name] = max(0, depth[name] + (-1 if closing else 1))
+        out.append([cls, 0, start, end])
         at = end
-    words(at, len(text))
+    words(len(text))
+    close()
+    first = 0
+    for i in range(len(blocks) + 1):
+        if i == len(blocks) or not blocks[i][1]:
+            if i - first >= MENU_BLOCKS:
+                for k in (k for own, _ in blocks[first:i] for k in own):
+                    out[k][0] = "frameword"
+            first = i + 1
     return out
 
 
 def region_weights(seed: int = 11, pages: int = 400) -> dict[str, float]:
-    """Log odds of each region class in the content against the frame of labelled pages."""
+    """Log odds of each region class in the content against the frame of labelled pages; words score positive, tags negative."""
     if "region" in _WEIGHTS:
         return _WEIGHTS["region"]
     rng, inside, outside = random.Random(seed), Counter(), Counter()
     for _ in range(pages):
-        for text, label in labelled_page(rng):
-            (inside if label == "content" else outside).update(cls for _, cls, _, _ in region_tokens(text))
-    names = {*inside, *outside, "structure"}
+        parts = labelled_page(rng)
+        text = "".join(t for t, _ in parts)
+        first, last = len(parts[0][0]), len(parts[0][0]) + len(parts[1][0])
+        for cls, n, start, end in region_elements(text, markup_tokens(text)):
+            (inside if first <= start and end <= last else outside)[cls] += n or 1
+    names = {"word", "frameword", "a", "frame", "inline", "block", "structure"}
     total_in, total_out = sum(inside.values()) + len(names), sum(outside.values()) + len(names)
     odds = {n: math.log((inside[n] + 1) / total_in) - math.log((outside[n] + 1) / total_out) for n in names}
-    odds["word"] = max(odds["word"], 0.5)  # words score positive and tags negative
-    for tag in ("a", "frame", "inline", "block"):
-        odds[tag] = min(odds.get(tag, -0.1), -0.05)
+    for name in names:
+        odds[name] = max(odds[name], 0.5) if name == "word" else min(odds[name], -0.05)
     _WEIGHTS["region"] = odds
     return odds
 
 
-def evidence_weights(seed: int = 13, values: int = 600) -> dict[str, float]:
-    """Log odds of each token class in values with markup against prose with signs."""
-    if "evidence" in _WEIGHTS:
-        return _WEIGHTS["evidence"]
-    rng, marked, prose = random.Random(seed), Counter(), Counter()
-    for _ in range(values):
-        marked.update(kind for text, _ in labelled_page(rng) for kind, _, _ in markup_tokens(text))
-        prose.update(kind for kind, _, _ in markup_tokens(rng.choice(_PROSE_SIGNS) + " " + rng.choice(_SENTENCES)))
-    prior = 2.0  # a class that no prose holds is markup even where the made pages lack it
-    _WEIGHTS["evidence"] = {
-        n: math.log((marked[n] + prior) / values) - math.log((prose[n] + 0.1) / values) if n != "sign" else -1.0
-        for n in [*SHAPES]
-    }
-    return _WEIGHTS["evidence"]
+def content_region(text: str, tokens: list[tuple[str, int, int]]) -> tuple[int, int]:
+    """Start and end of the content: the stretch of maximal score, and what lies between it and words further out.
+
+    So only frame is cut off: words outside frame elements and menus are never lost. A text without any such word
+    is kept whole.
+    """
+    weights = region_weights()
+    elements = region_elements(text, tokens)
+    _, begin, end = best_stretch([weights[cls] * max(n, 1) for cls, n, _, _ in elements])
+    own = [i for i, e in enumerate(elements) if e[0] == "word"]
+    if end == 0 or not own:
+        return 0, len(text)
+    begin, end = min(begin, own[0]), max(end, own[-1] + 1)
+    # structure that borders the region belongs to it
+    while begin > 0 and elements[begin - 1][0] in ("block", "inline", "structure", "a"):
+        begin -= 1
+    while end < len(elements) and elements[end][0] in ("block", "inline", "structure", "a"):
+        end += 1
+    return elements[begin][2], elements[end - 1][3]
 
 
 # ---------------------------------------------------------------- rendering
@@ -227,6 +352,13 @@ def _render(text: str, tokens: list[tuple[str, int, int]], depth: int = 0) -> st
     out: list[str] = []
     at, skip, pre, braces = 0, None, False, 0
     lists: list[list] = []
+    noted: dict[int, int] = {}  # notes: where each begins and ends
+    opened = None
+    for kind, start, end in tokens:
+        if kind == "ref" and text[start + 1: start + 4].lower() == "ref" and text[end - 2] != "/":
+            opened = start if opened is None else opened
+        elif kind == "ref" and opened is not None and text[start: start + 5].lower() == "</ref":
+            noted[opened], opened = end, None
 
     def raw(upto: int) -> None:
         nonlocal braces
@@ -291,7 +423,10 @@ def _render(text: str, tokens: list[tuple[str, int, int]], depth: int = 0) -> st
                 out.append("\n\n")
         elif skip is not None:
             continue
-        elif kind in ("comment", "ref", "citation", "other_command", "wiki_file", "rule", "wiki_template"):
+        elif kind == "ref":
+            if start in noted:
+                at = noted[start]
+        elif kind in ("comment", "citation", "other_command", "wiki_file", "rule", "wiki_template"):
             pass
         elif kind == "entity":
             out.append(html.unescape(html.unescape(piece)).replace("\xa0", " "))
@@ -353,28 +488,23 @@ def _tidy(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
+def analysed(text: str) -> tuple[list[tuple[str, int, int]], float]:
+    """(tokens, evidence of markup) of a value; the evidence is 0 where the best stretch does not exceed what prose reaches."""
+    weights = evidence_weights()
+    tokens = markup_tokens(text)
+    score = evidence_score(tokens, weights)
+    return tokens, score if score >= weights["least"] else 0.0
+
+
 def clean_text(text: str) -> tuple[str, int, float]:
     """(plain text of the content region, markup tokens, evidence of markup) of a value."""
-    tokens = markup_tokens(text)
-    evidence, _, _ = best_stretch([evidence_weights()[k] for k, _, _ in tokens])
-    marks = [t for t in tokens if t[0] != "sign"]
-    if evidence <= 0 or not marks:
+    tokens, evidence = analysed(text)
+    if not evidence:
         return text, 0, 0.0
-    weights = region_weights()
-    stream = region_tokens(text)
-    _, begin, end = best_stretch([weights[cls] for _, cls, _, _ in stream])
-    if end == 0:  # no words: nothing but markup
-        begin, end = 0, len(stream)
-    # structure that borders the region belongs to it
-    while begin > 0 and stream[begin - 1][1] in ("block", "inline", "structure", "a", "linkword"):
-        begin -= 1
-    while end < len(stream) and stream[end][1] in ("block", "inline", "structure", "a", "linkword"):
-        end += 1
-    low, high = stream[begin][2], stream[end - 1][3]
-    region = text[low:high]
+    low, high = content_region(text, tokens)
+    marks = [t for t in tokens if t[0] != "sign"]
     inside = [(k, s - low, e - low) for k, s, e in marks if s >= low and e <= high]
-    plain = _tidy(_render(region, inside))
-    return plain, len(marks), evidence
+    return _tidy(_render(text[low:high], inside)), len(marks), evidence
 
 
 def clean_batch(text: pd.Series) -> pd.DataFrame:
@@ -383,9 +513,7 @@ def clean_batch(text: pd.Series) -> pd.DataFrame:
 
 
 def holds_markup(text: str) -> bool:
-    """Whether the best stretch of evidence is positive; it is as soon as one token's weight is."""
-    weights = evidence_weights()
-    return any(weights[token_class(m.lastgroup, m[0])] > 0 for m in TOKEN.finditer(text))
+    return analysed(text)[1] > 0
 
 
 def evidence_batch(text: pd.Series) -> pd.Series:

@@ -16,7 +16,7 @@ MARKED = [
 PROSE = [
     "We page someone only if a < b and b > 12.", "x -> y with ~40 rows", "from $19 to $1200 this week", "ticket #75 and the C# port", "R&D and Q&A teams [sic]", "Paths like ~/alert/_cache | remote", "3 * 6 * 2 units",
     "The type is List<int> here", "Map<String, Item> & more", "https://x.example/a_b/c~d?x=1&y=2", "C:\\new\\server\\out", "The string ${HOME} stays", "we write {{ user.name }} there", "#channel & room", "it was cut [...]", "", "   ",
-    "snake_case_name and 5*x", "a 5'' screen",
+    "snake_case_name and 5*x", "a 5'' screen", "- said the operator", "3. Oktober war der Tag", "the latency stays < 5 ms",
 ]
 
 
@@ -92,3 +92,51 @@ def test_unclosed_marks_cost_linear_time():
         began = time.process_time()
         markup.markup_tokens(mark * 3000)
         assert time.process_time() - began < 5, mark
+
+
+def test_the_scan_weighs_what_prose_may_hold():
+    assert not holds_markup("- one thing we saw") and holds_markup("- one thing\n- another thing")
+    assert not holds_markup("- one thing\n" + "plain words stand here " * 20 + "\n- far away")
+    signs = "- one # ~ thing < 5 | $ & more\n- another"
+    assert markup.evidence_score(markup.markup_tokens(signs), markup.evidence_weights()) < markup.evidence_score(markup.markup_tokens("- one thing here is more\n- another"), markup.evidence_weights())
+    weights = markup.evidence_weights()
+    assert weights["sign"] < 0 and weights["word"] < 0 and weights["bullet"] < weights["least"] < weights["strong"]
+
+
+def words_of(text):
+    return [w for w in text.replace("`", " ").replace("#", " ").split() if w not in "-*"]
+
+
+def test_no_word_outside_the_frame_is_lost():
+    for text in ["<p>…but they got <a href='/x'>the</a> fast page.</p>", "<p>It has a linter that <a href='/x'>clients expected.</a></p>\n<p>One more paragraph.</p>", "<p>Plain words.</p><p><a href='/q'>A last link</a></p>",
+                 "<p><a href='/q'>A first link</a></p><p>Plain words.</p>", "<ul><li><a href='/1'>one</a></li><li><a href='/2'>two</a></li></ul>", "see [one](/a) and [two](/b)", "- [one](https://a)\n- [two](https://b)", "<a href='/1'>all of it</a>"]:
+        plain = markup.re.sub(r"<[^<>]*>|\]\([^()]*\)|\[", " ", text)
+        assert words_of(clean_text(text)[0]) == words_of(plain), text
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>menu{i}</a></li>" for i in range(4)) + "</ul>"
+    assert clean_text(menu + "<p>Plain words of the page.</p>" + menu)[0].strip(" -\n") == "Plain words of the page."
+    rng = random.Random(4)
+    for _ in range(100):
+        (_, _), (content, _), (_, _) = page = markup.labelled_page(rng)
+        if 'href="x' in content or 'href="https://x' in content:
+            continue  # a tag that stays open takes what follows
+        whole = clean_text("".join(t for t, _ in page))[0]
+        assert set(clean_text("<p>" + content)[0].split()) - set(whole.split()) == set()
+
+
+def test_notes_that_stay_open_cost_linear_time_and_no_text():
+    assert clean_text("a <ref>note</ref> b <ref name='x'/> c <ref>open")[0] == "a b c open"
+    for mark in ("<ref>a ", "&lt;a b ", "&lt;!-- a "):
+        began = time.process_time()
+        clean_text("''x'' " + mark * 4000)
+        assert time.process_time() - began < 5, mark
+
+
+def test_tokens_are_those_of_the_whole_alternation():
+    whole = markup.re.compile("|".join(f"(?P<{n}>{shape})" for n, shape in markup.SHAPES.items()), markup._FLAGS)
+    rng = random.Random(9)
+    texts = [*MARKED, *PROSE, *("".join(t for t, _ in markup.labelled_page(rng)) for _ in range(80))]
+    pieces = ["<p>", "</", "&lt;", "a", " ", "\n", "*", "**", "_", "`", "~~", "$", "\\[", "\\]", "[[", "]]", "[", "](", ")", "{{", "|", "}}", "=", "==", "'", "''", "!", "#", "- ", "1. ", "> ", "|-", "---", "&amp;", "\\emph{", "}"]
+    texts += ["".join(rng.choice(pieces) for _ in range(30)) for _ in range(400)]
+    for text in texts:
+        want = [(markup.token_class(m.lastgroup, m[0]), m.start(), m.end()) for m in whole.finditer(text) if m.end() > m.start()]
+        assert markup.markup_tokens(text) == want, text
