@@ -7,7 +7,7 @@ import pytest
 
 from kiteloom.llm import reading_level, residue
 from kiteloom.llm.reading_level import ReadingModel, isotonic
-from kiteloom.llm.residue import COVERAGE, ResidueModel, placeholders, residue_examples, simplified
+from kiteloom.llm.residue import COVERAGE, FieldModel, ResidueModel, field_text, residue_examples, simplified
 
 PROSE = [
     "We kept the queue small and replaced one worker at a time.", "Nach zwei Tagen war der Dienst wieder schnell genug für alle.", "El equipo cambió la parte antigua del servicio en otoño.", "다음 달에는 오래된 저장소 하나를 더 정리했습니다.",
@@ -22,6 +22,20 @@ def model():
     return ResidueModel.fit(PROSE * 40)
 
 
+@pytest.fixture(scope="module")
+def fields():
+    return FieldModel.fit(PROSE * 40)
+
+
+def test_placeholders_of_held_out_examples(fields):
+    from kiteloom.llm.residue import mention_examples, template_examples
+
+    prose = [field_text(t) for t in PROSE]
+    templates, others = template_examples(prose, seed=501)[:600], mention_examples(prose, seed=502)[::20]
+    assert (fields.placeholders(templates) > 0).mean() > 0.9 and (fields.placeholders(others) > 0).mean() < 0.03
+    assert fields.placeholders([]).tolist() == [] and fields.placeholders(["", "plain"]).tolist() == [0, 0]
+
+
 def test_residue_covers_and_prose_does_not(model):
     assert (model.coverage([simplified(t) for t in RESIDUE]) >= COVERAGE).all()
     assert (model.coverage([simplified(t) for t in PROSE]) < COVERAGE).all()
@@ -32,19 +46,19 @@ def test_residue_covers_and_prose_does_not(model):
 
 
 @pytest.mark.parametrize("text", ["{{ post_date }}", "Hello #{FIRST_NAME}, welcome", "by @@author@@", "%%title%% here", "%(name)s min", "{% block title %} |", "the [TITLE] again", "for {category} now", "${SITE.NAME} - x", "@{summary}", "[Insert summary here]"])
-def test_placeholders_left_in(text):
-    assert placeholders(text)
+def test_placeholders_left_in(fields, text):
+    assert fields.placeholders([field_text(text)])[0] > 0
 
 
 @pytest.mark.parametrize("text", ["The string ${HOME} is expanded by the shell.", "In the template we write {{ user.name }} where the value goes.", "R&D share it [sic].", "\\emph{title} and \\frac{a}{b}", "[title](https://x)", "[[Home|title]]", "{ return cache; }", "it was cut [...]", "a {b + c}", "100 % of %s"])
-def test_texts_about_placeholders(text):
-    assert not placeholders(text)
+def test_texts_about_placeholders(fields, text):
+    assert fields.placeholders([field_text(text)]).tolist() == [0]
 
 
-def test_messy_residue_tables(spark, model):
+def test_messy_residue_tables(spark, model, fields):
     rows = [(1, RESIDUE[0]), (1, RESIDUE[0]), (2, None), (3, "  "), (4, PROSE[0]), (5, PROSE[0] * 20_000), (6, "by {{ author }} today")]
     df = spark.createDataFrame([(*r, 0.5) for r in rows], "seq long, body string, coverage double")
-    got = sorted((r.rec_id, r.excluded) for r in residue.scored_residue([("articles", df, "seq", "body")], model).collect())
+    got = sorted((r.rec_id, r.excluded) for r in residue.scored_residue([("articles", df, "seq", "body")], (model, fields)).collect())
     assert got == [(1, True), (1, True), (4, False), (5, False), (6, True)]
     assert residue.scored_residue([("articles", df.limit(0), "seq", "body")]).count() == 0
 
