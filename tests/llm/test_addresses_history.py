@@ -89,19 +89,22 @@ ARTICLES = [
 ]
 
 
+EDITS = history.TitleEdits(frozenset({"a", "the", "really", "update"}), {"learnings": "lessons"})
+
+
 def repeat_rows(spark, rows):
     filler = [(100 + i, 9, "s", f"Lessons from a staged container we profiled for {a} {b}", f"https://f/{i}") for i, (a, b) in enumerate([(x, y) for x in ("Gamo", "Rolo", "Tika", "Bena", "Bopako", "Bopaka") for y in ("Mira", "Sole", "Lakipa", "cursor", "Rarofa")])]
     return spark.createDataFrame([(*r, "c", 1) for r in rows + filler], "seq long, batch_id long, site string, title string, url string, canon string, t1 int")
 
 
 def test_repeats_by_address_and_title(spark, model):
-    got = {r.new_seq: r.old_seq for r in history.repeated_articles(repeat_rows(spark, ARTICLES), model).collect() if r.new_seq < 100}
+    got = {r.new_seq: r.old_seq for r in history.repeated_articles(repeat_rows(spark, ARTICLES), model, EDITS).collect() if r.new_seq < 100}
     assert got == {3: 1, 4: 1, 8: 2, 13: 2}  # 9 is in no smaller batch than 10; Part 2, another thing, name or site are other articles
 
 
 def test_copies_in_one_batch_are_no_history_and_rows_may_repeat(spark, model):
     rows = [(1, 1, "s", "Same title here now", "u1"), (2, 1, "s", "Same title here now", "u1"), (3, 2, "s", "Same title here now", "u2"), (3, 2, "s", "Same title here now", "u2"), (4, 3, "s", "x", "u2")]
-    got = sorted((r.old_seq, r.new_seq) for r in history.repeated_articles(repeat_rows(spark, rows).filter("seq < 100"), model).collect())
+    got = sorted((r.old_seq, r.new_seq) for r in history.repeated_articles(repeat_rows(spark, rows).filter("seq < 100"), model, EDITS).collect())
     assert got == [(1, 3), (3, 4)]
     assert history.repeated_articles(repeat_rows(spark, rows).limit(0), model).count() == 0
 
@@ -109,7 +112,25 @@ def test_copies_in_one_batch_are_no_history_and_rows_may_repeat(spark, model):
 def test_differing_words():
     assert history.differing_words("a cache b", "a cahce b") == [("cache", "cahce")]
     assert history.differing_words("part 1", "part 2") is None and history.differing_words("a b c", "a b") is None
-    assert history.canonical_title("Lessons from the Cache - My Blog", "My Blog") == history.canonical_title("UPDATED: Learnings from a cache", "My Blog") == "lessons from cache"
+    canonical = lambda t: EDITS.canonical(history.title_words(t, "My Blog"))
+    assert canonical("Lessons from the Cache - My Blog") == canonical("UPDATE: Learnings from a cache") == "lessons from cache"
+    assert history.title_words("My Blog", "My Blog") == ["my", "blog"] and EDITS.canonical(["the", "a"]) == "the a"
+
+
+def test_edits_of_words_are_learned_from_titles(spark, model):
+    rng, rows = random.Random(7), []
+    names = [f"{a}{b}" for a in ("Lo", "Ka", "Mi", "Te", "Ru", "Sa") for b in ("pata", "nefi", "dora", "vilo", "kema")]
+    for i in range(900):
+        title = f"Lessons from a {rng.choice(['small', 'busy', 'quiet'])} {rng.choice(WORDS)} we tuned for {rng.choice(names)} {rng.choice(names)}"
+        rows.append(title)
+        if i % 9 == 0:
+            rows.append(rng.choice([title + " [repost]", title.replace("Lessons", "Learnings"), title.replace(" a ", " the "), title.replace(" a ", " ")]))
+    told = spark.createDataFrame([("s", " ".join(history.title_words(t, "s")), history.name_words(t)) for t in rows], "site string, words string, names array<string>")
+    edits = history.fit_title_edits(told)
+    assert {"repost", "a"} <= edits.light and edits.same["learnings"] == "lessons" and edits.same.get("the", "a") == "a"
+    # things and names that titles speak of are neither dropped nor replaced
+    assert not edits.light & {*WORDS, "small", "busy", "lessons"} and not set(edits.same) & {*WORDS, "small", "busy", *map(str.lower, names)}
+    assert history.fit_title_edits(told.limit(0)).same == {}
 
 
 def test_batches_folded_into_a_store_equal_the_pass_over_all(spark, model, tmp_path):
@@ -117,15 +138,30 @@ def test_batches_folded_into_a_store_equal_the_pass_over_all(spark, model, tmp_p
     late = [(20, 12, "s", "Moving the cached topic to Lopata Lakipa", "https://x/20"), (21, 15, "s", "Moving the caches topic to Lopata Lakipa", "https://x/21"),
             (22, 17, "s", "Which caches do fill", "https://x/22"), (23, 17, "s", "Why cached things stay", "https://x/23"), (24, 20, "s", "Moving the caches topic to Lopata Lakipa", "https://x/24")]
     rows = repeat_rows(spark, ARTICLES + late).filter("batch_id IS NOT NULL")
-    want = sorted(map(tuple, history.repeated_articles(rows, model).collect()))
+    want = sorted(map(tuple, history.repeated_articles(rows, model, EDITS).collect()))
     assert want == [(1, 3), (1, 4), (2, 8), (2, 13), (20, 21), (21, 24)]
-    got = []
-    for b in (9, 10, 12, 15, 17, 20):
-        got += map(tuple, history.match_batch(str(tmp_path), rows.filter(F.col("batch_id") == b), model).collect())
-    assert sorted(got) == want
-    assert list(map(tuple, history.match_batch(str(tmp_path), rows.filter("batch_id = 20"), model).collect())) == [(21, 24)]
+    for name, calls in (("single", [[9], [10], [12], [15], [17], [20]]), ("several", [[9, 10], [12, 15, 17], [20]])):
+        store, got = str(tmp_path / name), []
+        for call in calls:
+            got += map(tuple, history.match_batches(rows.filter(F.col("batch_id").isin(call)), model, EDITS, store).collect())
+        assert sorted(got) == want, name
+    assert list(map(tuple, history.match_batches(rows.filter("batch_id = 20"), model, EDITS, store).collect())) == [(21, 24)]
+    with pytest.raises(ValueError):
+        history.match_batches(rows.filter("batch_id = 12"), model, EDITS, store)
     with pytest.raises(ValueError):
-        history.match_batch(str(tmp_path), rows.filter("batch_id = 12"), model)
+        history.match_batches(rows.filter("batch_id = 30"), model, store=store)
+    assert history.match_batches(rows.limit(0), model, EDITS, store).count() == 0
+
+
+def test_hot_segments_are_salted_and_lose_no_pair(spark, model, monkeypatch):
+    rows = repeat_rows(spark, ARTICLES)
+    want = sorted(map(tuple, history.repeated_articles(rows, model, EDITS).collect()))
+    titles = spark.createDataFrame([(i, i, "s", f"standing phrase of all titles {i:03d}") for i in range(60)], "t1 long, t2 long, site string, canon string")
+    pairs = lambda: sorted(map(tuple, history.met_titles(history.probe_segments(titles), history.stored_segments(titles)).collect()))
+    plain = pairs()
+    monkeypatch.setattr(history, "HOT_KEY_ROWS", 2)
+    assert sorted(map(tuple, history.repeated_articles(rows, model, EDITS).collect())) == want
+    assert pairs() == plain and len(plain) > 60
 
 
 def test_rare_words_and_two_typos_of_one_word_are_misspellings(spark, model):
@@ -134,5 +170,5 @@ def test_rare_words_and_two_typos_of_one_word_are_misspellings(spark, model):
     # both forms in two titles each beside a common word
     rows += [(6, 1, "t", "Moving the sokcet to Lomeva Roteta", "u6"), (7, 2, "t", "Moving the socekt to Lomeva Roteta", "u7"), (8, 1, "u", "sokcet", "u8"), (9, 1, "v", "socekt", "u9")]
     rows += [(100 + i, 0, f"w{i}", "socket", f"w{i}") for i in range(20)]
-    got = sorted(map(tuple, history.repeated_articles(repeat_rows(spark, rows).filter("not url like 'https:%'"), model).collect()))
+    got = sorted(map(tuple, history.repeated_articles(repeat_rows(spark, rows).filter("not url like 'https:%'"), model, EDITS).collect()))
     assert got == [(1, 2), (3, 4), (6, 7)]
