@@ -119,7 +119,7 @@ def test_differing_words():
 
 def test_edits_of_words_are_learned_from_titles(spark, model):
     rng, rows = random.Random(7), []
-    names = [f"{a}{b}" for a in ("Lo", "Ka", "Mi", "Te", "Ru", "Sa") for b in ("pata", "nefi", "dora", "vilo", "kema")]
+    names = [f"{a}{b}{c}" for a in ("Lo", "Ka", "Mi", "Te", "Ru", "Sa") for b in ("pata", "nefi", "dora", "vilo", "kema") for c in ("", "na", "ro", "li", "tu", "so")]
     for i in range(900):
         title = f"Lessons from a {rng.choice(['small', 'busy', 'quiet'])} {rng.choice(WORDS)} we tuned for {rng.choice(names)} {rng.choice(names)}"
         rows.append(title)
