@@ -3,7 +3,8 @@
 Q-gram lemma filtering. Texts become lower-case words parted by one space. The items' q-grams form a
 sorted index; all q-grams of a batch of documents are hashed and looked up at once. Hits are counted
 in overlapping diagonal bands per document and item; a band that holds as many hits as the lemma
-demands of a passage within the edit budget is kept and verified by alignment along its diagonals.
+demands of a passage within the edit budget is kept. It is verified by an alignment within the band: the longest
+stretch that agrees but for the budgeted edits must be as long as a passage. What is left must hold unbroken words.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ MIN_WORDS = 12
 Q = 16
 #: Edits that the filter allows in a passage; the verification then asks for unbroken words.
 EDITS = 1
-#: Characters of items in one index; a larger item set is searched in several passes over the documents.
-BLOCK_CHARS = 4_000_000
+#: Characters of items in one index, which takes about twenty times as many bytes of memory, and indexes that one pass over
+#: the documents holds; a larger item set takes more passes.
+BLOCK_CHARS, BLOCKS_AT_ONCE = 4_000_000, 4
+#: Pairs of equal q-grams that are counted at once; a q-gram that many items share is worked off in parts.
+HIT_PAIRS = 4_000_000
 #: Characters of documents that are looked up at once.
 CHUNK_CHARS = 4_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -73,30 +77,58 @@ class ItemIndex:
         self.hashes, self.positions = hashes[at][order], at[order]
         self.bitmap = np.zeros(1 << self.BITS, dtype=bool)
         self.bitmap[self.hashes >> np.uint64(64 - self.BITS)] = True
-        self.needed = np.array([self._needed(t) for t in texts], dtype=np.int64)
+        #: Characters of each item's shortest passage, and the q-grams that it keeps under EDITS edits, at least one.
+        self.shortest = np.array([self._shortest(t) for t in texts], dtype=np.int64)
+        self.needed = np.where(self.shortest < 1 << 40, np.maximum(self.shortest - Q + 1 - EDITS * Q, 1), 1 << 40)
 
     @staticmethod
-    def _needed(text: str) -> int:
-        """Q-grams that a passage of MIN_WORDS words of the text keeps under EDITS edits, at least one."""
+    def _shortest(text: str) -> int:
+        """Characters of the shortest passage of MIN_WORDS words."""
         ends = np.cumsum([len(w) + 1 for w in text.split(" ")])
         if len(ends) < MIN_WORDS:
             return 1 << 40
         begins = np.concatenate(([0], ends[:-MIN_WORDS]))
-        shortest = int((ends[MIN_WORDS - 1:] - begins).min()) - 1
-        strict = shortest - Q + 1
-        return max(1, strict - EDITS * Q) if strict > 0 else 1
+        return int((ends[MIN_WORDS - 1:] - begins).min()) - 1
 
-    def hits(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in `points` and in the index of equal q-grams."""
+    def hits(self, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions in `points` and in the index of equal q-grams, in parts of about HIT_PAIRS."""
         hashes = qgram_hashes(points)
         maybe = np.flatnonzero(self.bitmap[hashes >> np.uint64(64 - self.BITS)])
         first = np.searchsorted(self.hashes, hashes[maybe], "left")
         count = np.searchsorted(self.hashes, hashes[maybe], "right") - first
         keep = count > 0
         maybe, first, count = maybe[keep], first[keep], count[keep]
-        doc_at = np.repeat(maybe, count)
-        within = np.arange(len(doc_at)) - np.repeat(np.cumsum(count) - count, count)
-        return doc_at, self.positions[np.repeat(first, count) + within]
+        part = np.cumsum(count) // HIT_PAIRS
+        for own in np.split(np.arange(len(maybe)), np.flatnonzero(np.diff(part)) + 1) if len(maybe) else []:
+            doc_at = np.repeat(maybe[own], count[own])
+            within = np.arange(len(doc_at)) - np.repeat(np.cumsum(count[own]) - count[own], count[own])
+            yield doc_at, self.positions[np.repeat(first[own], count[own]) + within]
+
+
+def aligned_stretch(doc: np.ndarray, item: np.ndarray, low: int, width: int, edits: int = EDITS) -> int:
+    """Most characters of the item in a row that agree with the document but for `edits` edits, along the diagonals low .. low + width - 1.
+
+    A banded alignment: for each item position, diagonal and number of edits, the longest stretch that ends there.
+    """
+    best, none = 0, [0] * (width + 2)
+    before = [none] * (edits + 1)  # by edits and diagonal, with a border on each side
+    lo, hi = max(0, -(low + width - 1)), min(len(item), len(doc) - low)
+    letters = item.tolist()
+    for i in range(lo, hi):
+        at, now = i + low, []
+        equal = [0 <= at + d < len(doc) and doc[at + d] == letters[i] for d in range(width)]
+        for e in range(edits + 1):
+            row = [0] * (width + 2)
+            for d in range(width):
+                if equal[d]:
+                    row[d + 1] = before[e][d + 1] + 1
+                if e:  # one letter exchanged, the item's letter left out, or a letter of the document passed over
+                    under = before[e - 1]
+                    row[d + 1] = max(row[d + 1], under[d + 1] + 1, under[d + 2] + 1, now[e - 1][d] if d else 0)
+            now.append(row)
+            best = max(best, *row)
+        before = now
+    return best
 
 
 def longest_word_run(doc: np.ndarray, item: np.ndarray, shift: int) -> int:
@@ -123,19 +155,21 @@ def longest_word_run(doc: np.ndarray, item: np.ndarray, shift: int) -> int:
 def leaks_in(index: ItemIndex, texts: list[str]) -> list[tuple[int, int]]:
     """(row of `texts`, row of the index) of every leak."""
     points, starts = codes(texts)
-    doc_at, item_at = index.hits(points)
-    if not len(doc_at):
-        return []
-    doc = np.searchsorted(starts, doc_at, "right") - 1
-    item = np.searchsorted(index.starts, item_at, "right") - 1
-    shift = (doc_at - starts[doc]) - (item_at - index.starts[item])
     width = 2 * EDITS + 2  # overlapping bands: each diagonal lies in two, half a width apart
     half = width // 2
-    band = np.concatenate((2 * (shift // width), 2 * ((shift + half) // width) + 1))
-    # one integer per document, item and band; widths are taken from the data, so nothing overlaps
-    lowest, n_items = int(band.min()), len(index.ids)
-    span = int(band.max()) - lowest + 1
-    keys, counts = np.unique((np.tile(doc * n_items + item, 2)) * span + (band - lowest), return_counts=True)
+    n_items = len(index.ids)
+    # one integer per document, item and band
+    lowest = 2 * (-(len(index.points) + width) // width) - 2
+    span = 2 * (len(points) // width + 2) - lowest
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for doc_at, item_at in index.hits(points):
+        doc = np.searchsorted(starts, doc_at, "right") - 1
+        item = np.searchsorted(index.starts, item_at, "right") - 1
+        shift = (doc_at - starts[doc]) - (item_at - index.starts[item])
+        band = np.concatenate((2 * (shift // width), 2 * ((shift + half) // width) + 1))
+        own, n = np.unique((np.tile(doc * n_items + item, 2)) * span + (band - lowest), return_counts=True)
+        keys, place = np.unique(np.concatenate((keys, own)), return_inverse=True)
+        counts = np.bincount(place, np.concatenate((counts, n)), len(keys)).astype(np.int64)
     pairs, bands = keys // span, keys % span + lowest
     found, checked = [], -1
     for k in np.flatnonzero(counts >= index.needed[pairs % n_items]):
@@ -143,27 +177,31 @@ def leaks_in(index: ItemIndex, texts: list[str]) -> list[tuple[int, int]]:
         if pair == checked:
             continue
         d, i = divmod(int(pair), n_items)
-        low = (b // 2) * width - (half if b % 2 else 0)
+        low = int(b // 2) * width - (half if b % 2 else 0)
         doc_end = starts[d + 1] - 1 if d + 1 < len(starts) else len(points) - 1
         item_end = index.starts[i + 1] - 1 if i + 1 < len(index.starts) else len(index.points) - 1
         document, wanted = points[starts[d]: doc_end], index.points[index.starts[i]: item_end]
-        if any(longest_word_run(document, wanted, int(s)) >= MIN_WORDS for s in range(low, low + width)):
+        if aligned_stretch(document, wanted, low, width) < index.shortest[i]:
+            continue
+        if any(longest_word_run(document, wanted, s) >= MIN_WORDS for s in range(low, low + width)):
             found.append((d, i))
             checked = pair
     return found
 
 
-def _search(item_ids: list[int], item_texts: list[str]):
+def _search(indexes: list):
+    """Search of documents in broadcast indexes, which a worker unpacks once."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        built = ItemIndex(item_ids, item_texts)
         for batch in batches:
             ids, texts = batch["doc_id"].to_numpy(), batch["words"].tolist()
             for part in slices(texts, CHUNK_CHARS):
-                pairs = leaks_in(built, texts[part])
-                yield pd.DataFrame(
-                    {"doc_id": [ids[part.start + d] for d, _ in pairs], "item_id": [built.ids[i] for _, i in pairs]},
-                    dtype="int64",
-                )
+                for held in indexes:
+                    pairs = leaks_in(held.value, texts[part])
+                    yield pd.DataFrame(
+                        {"doc_id": [ids[part.start + d] for d, _ in pairs], "item_id": [held.value.ids[i] for _, i in pairs]},
+                        dtype="int64",
+                    )
 
     return run
 
@@ -171,28 +209,28 @@ def _search(item_ids: list[int], item_texts: list[str]):
 def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     """(doc_id, item_id): the document holds at least MIN_WORDS consecutive words of the item.
 
-    Documents are read once per block of items (one block up to BLOCK_CHARS characters of items) and are
-    never shuffled. Null texts, texts and items of fewer words than that and empty tables give no row;
-    repeated keys give one row per pair.
+    Documents are read once for BLOCKS_AT_ONCE blocks of items (one block up to BLOCK_CHARS characters of items)
+    and are never shuffled; each index is built once and broadcast, its size bounded by the block. Null texts,
+    texts and items of fewer words than that and empty tables give no row; repeated keys give one row per pair.
     """
     spark = documents.sparkSession
     items = eval_items.select(F.col("item_id").cast("long"), normalised_words(F.col("text")).alias("words")).filter(
-        F.size(F.split("words", " ")) >= MIN_WORDS
+        F.col("item_id").isNotNull() & (F.size(F.split("words", " ")) >= MIN_WORDS)
     )
     total = items.agg(F.sum(F.length("words"))).first()[0] or 0
     blocks = int(total // BLOCK_CHARS) + 1
     docs = documents.select(F.col("doc_id").cast("long"), normalised_words(F.col("text")).alias("words")).filter(
         F.col("words").isNotNull() & F.col("doc_id").isNotNull()
     )
-    result = None
+    result, indexes = None, []
     for block in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block) if blocks > 1 else items
-        rows = sorted((r[0], r[1]) for r in part.collect() if r[0] is not None)  # at most about BLOCK_CHARS
-        if not rows:
-            continue
-        search = _search([r[0] for r in rows], [r[1] for r in rows])
-        found = spread(docs).mapInPandas(search, "doc_id long, item_id long")
-        result = found if result is None else result.unionByName(found)
+        rows = sorted((r[0], r[1]) for r in part.collect())  # at most about BLOCK_CHARS
+        if rows:
+            indexes.append(spark.sparkContext.broadcast(ItemIndex([r[0] for r in rows], [r[1] for r in rows])))
+        if indexes and (len(indexes) == BLOCKS_AT_ONCE or block == blocks - 1):
+            found = spread(docs).mapInPandas(_search(indexes), "doc_id long, item_id long")
+            result, indexes = found if result is None else result.unionByName(found), []
     if result is None:
         return spark.createDataFrame([], "doc_id long, item_id long")
     return result.distinct()

@@ -54,6 +54,22 @@ def test_blocks_of_items_and_chunks_of_texts_change_nothing(spark, case, monkeyp
     assert {tuple(r) for r in leakage.leaked_items(docs, held).collect()} == brute(documents, items)
 
 
+def test_hits_in_parts_and_blocks_in_one_pass_change_nothing(spark, case, monkeypatch):
+    documents, items = case
+    monkeypatch.setattr(leakage, "HIT_PAIRS", 50)
+    index = leakage.ItemIndex([i for i, t in items if t], [" ".join(re.findall(r"[^\W_]+", t.lower())) for _, t in items if t])
+    texts = [" ".join(re.findall(r"[^\W_]+", (t or "").lower())) for _, t in documents]
+    got = {(documents[d][0], int(index.ids[i])) for d, i in leakage.leaks_in(index, texts)}
+    assert got == brute(documents, items)
+
+
+def test_banded_alignment_bears_the_budgeted_edits():
+    point = lambda t: leakage.codes([t])[0][:-1]
+    item = "alpha beta gamma delta epsilon"
+    for text, edits, want in ((item, 0, 30), ("x" + item, 0, 30), ("alpha beta gamXa delta epsilon", 0, 15), ("alpha beta gamXa delta epsilon", 1, 30), ("alpha beta gama delta epsilon", 1, 30), ("alpha beta gamXma delta epsilon", 1, 30), ("", 1, 0)):
+        assert leakage.aligned_stretch(point(text), point(item), -2, 4, edits) == want, (text, edits)
+
+
 def test_permutations_are_bijections():
     for n in (1, 2, 3, 10, 257, 4096):
         for key in (0, -5, 123456789):
@@ -63,12 +79,27 @@ def test_permutations_are_bijections():
     assert (a != b).mean() > 0.9 and abs(np.corrcoef(np.arange(1000), a)[0, 1]) < 0.15
 
 
-def test_draws_stay_within_the_caps():
-    for seed in range(5):
-        counts = mixing.draw_counts([0.5, 0.3, 0.2], [9000, 9000, 1500], seed)
+def drawn(spark, shares, caps, seed):
+    counts = np.zeros((0, len(shares)), dtype=np.int64)
+    rows = mixing.numbered_draws(mixing.drawn_shards(spark, shares, caps, seed)).orderBy("shard", "source").collect()
+    if rows:
+        counts = np.zeros((max(r.shard for r in rows) + 1, len(shares)), dtype=np.int64)
+        for r in rows:
+            counts[r.shard, r.source] = r.n
+        for r in rows:  # a shard's own blocks and those of earlier shards come first
+            assert (r.first, r.offset, r.size) == (counts[: r.shard, r.source].sum(), counts[r.shard, : r.source].sum(), counts[r.shard].sum())
+    return counts
+
+
+def test_draws_stay_within_the_caps(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 500)
+    monkeypatch.setattr(mixing, "SHARDS_TOGETHER", 4)
+    for seed in range(2):
+        counts = drawn(spark, [0.5, 0.3, 0.2], [9000, 9000, 1500], seed)
         assert (counts.sum(axis=0) <= [9000, 9000, 1500]).all() and counts.sum() > 6500
         assert np.allclose(counts.sum(axis=0) / counts.sum(), [0.5, 0.3, 0.2], atol=0.03)
-    assert mixing.draw_counts([0.5, 0.5], [10, 0], 1).sum() == 0 and mixing.draw_counts([], [], 1).sum() == 0
+        assert (counts[:-1].sum(axis=1) == 500).all()
+    assert drawn(spark, [0.5, 0.5], [10, 0], 1).sum() == 0 and drawn(spark, [], [], 1).sum() == 0
 
 
 @pytest.fixture(scope="module")
