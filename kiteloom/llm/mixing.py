@@ -21,6 +21,8 @@ from kiteloom.plans.runtime import cut_lineage, small_side, spread
 
 #: Tokens of a block, blocks of an output shard, and parts of a source whose offsets are summed alone.
 BLOCK_TOKENS, SHARD_BLOCKS, BUCKETS = 256, 4096, 1024
+#: Shards whose draws are numbered together.
+SHARDS_TOGETHER = 4096
 #: Folder of the public tokenizers and the rank file that sizes are measured with.
 TOKENIZER_DIR, TOKENIZER_FILE = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that parts text before the merges of that file.
@@ -80,24 +82,58 @@ def _permute(index: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
     return pd.Series(permuted(index.to_numpy(), size.to_numpy(), key.to_numpy()) if len(index) else [], dtype="int64")
 
 
-def draw_counts(shares: list[float], caps: list[int], seed: int) -> np.ndarray:
-    """(shards, sources) multinomial block counts, as many blocks as the scarcest source allows."""
+DRAWN = "shard long, source int, n long, offset long, size long"
+
+
+def shard_draws(p: np.ndarray, total: int, seed: int, attempt: int):
+    """DRAWN of shards: each draws its blocks per source from a multinomial, by a seed of its own."""
+
+    def run(batches):
+        for batch in batches:
+            parts = []
+            for shard in batch["id"]:
+                size = min(SHARD_BLOCKS, total - int(shard) * SHARD_BLOCKS)
+                n = np.random.default_rng([seed, attempt, int(shard)]).multinomial(size, p)
+                own = np.flatnonzero(n)
+                parts.append(pd.DataFrame({"shard": shard, "source": own, "n": n[own], "offset": (np.cumsum(n) - n)[own], "size": size}))
+            if parts:
+                yield pd.concat(parts)
+
+    return run
+
+
+def drawn_shards(spark, shares: list[float], caps: list[int], seed: int) -> DataFrame:
+    """DRAWN of as many blocks as the scarcest source allows; shards draw next to each other in the executors.
+
+    The driver sees the sums by source only. A source that is drawn more often than its cap makes all draw again, a
+    little less.
+    """
     p = np.array(shares, dtype=float)
-    p = p / p.sum() if p.sum() > 0 else p
+    p = p / p.sum() if len(p) and p.sum() > 0 else p
     usable = [c / s for c, s in zip(caps, p) if s > 0]
-    total = int(min(usable)) if usable else 0
-    attempt = 0
+    total, attempt = int(min(usable)) if usable else 0, 0
     while total > 0:
-        rng = np.random.default_rng([seed, attempt])
-        sizes = np.full(-(-total // SHARD_BLOCKS), SHARD_BLOCKS)
-        sizes[-1] = total - SHARD_BLOCKS * (len(sizes) - 1)
-        counts = np.array([rng.multinomial(n, p) for n in sizes], dtype=np.int64)
-        over = counts.sum(axis=0) - np.array(caps)
+        draws = spark.range(-(-total // SHARD_BLOCKS)).mapInPandas(shard_draws(p, total, seed, attempt), DRAWN)
+        sums = np.zeros(len(p), dtype=np.int64)
+        for r in draws.groupBy("source").agg(F.sum("n")).collect():  # one row per source
+            sums[r[0]] = r[1]
+        over = sums - np.array(caps)
         if (over <= 0).all():
-            return counts
+            return draws
         total -= max(1, int(max(o / s for o, s in zip(over, p) if s > 0 and o > 0) * 0.5))
         attempt += 1
-    return np.zeros((0, len(shares)), dtype=np.int64)
+    return spark.createDataFrame([], DRAWN)
+
+
+def numbered_draws(draws: DataFrame) -> DataFrame:
+    """Adds `first`, the number of a source's blocks that earlier shards drew; summed within SHARDS_TOGETHER shards and then over those."""
+    grouped = draws.withColumn("_group", F.floor(F.col("shard") / SHARDS_TOGETHER).cast("long"))
+    sums = grouped.groupBy("source", "_group").agg(F.sum("n").alias("_n"))
+    earlier = W.partitionBy("source").orderBy("_group").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    within = W.partitionBy("source", "_group").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    inside = grouped.withColumn("_inside", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    return inside.join(before, ["source", "_group"]).withColumn("first", F.col("_before") + F.col("_inside")).drop("_group", "_before", "_inside")
 
 
 def packed_documents(counted: DataFrame) -> DataFrame:
@@ -138,14 +174,9 @@ def mixed_blocks(documents: DataFrame, targets: DataFrame, seed: int = 1, tokeni
     packed = packed_documents(counted)
     tokens = {r[0]: r[1] for r in packed.groupBy("channel").agg(F.max(F.col("start") + F.col("n_tokens"))).collect()}  # one row per source
     blocks = [-(-tokens.get(r[0], 0) // BLOCK_TOKENS) for r in rows]
-    counts = draw_counts([r[1] for r in rows], [n * r[2] for n, r in zip(blocks, rows)], seed)
-    first = np.cumsum(counts, axis=0) - counts
-    offset = np.cumsum(counts, axis=1) - counts
-    plan = [
-        (s, rows[c][0], int(blocks[c]), int(counts[s, c]), int(first[s, c]), int(offset[s, c]), int(counts[s].sum()))
-        for s in range(len(counts)) for c in range(len(rows)) if counts[s, c]
-    ]
-    shards = spark.createDataFrame(plan, "shard long, channel string, n_blocks long, n long, first long, offset long, size long")
+    draws = drawn_shards(spark, [r[1] for r in rows], [n * r[2] for n, r in zip(blocks, rows)], seed)
+    sources = spark.createDataFrame([(i, r[0], int(n)) for i, (r, n) in enumerate(zip(rows, blocks))], "source int, channel string, n_blocks long")
+    shards = numbered_draws(draws).join(F.broadcast(sources), "source").drop("source")  # at most MAX_SOURCES rows
     permute = F.pandas_udf(_permute, "bigint")
     drawn = shards.repartition("shard", "channel").select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")
