@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,11 +41,11 @@ SYNTAX = ["sentence_log", "word_length", "clause_log", "long_share", "distinct_s
 
 
 class Texts:
-    """Words and syntax features of a list of texts, as flat arrays."""
+    """Words and syntax features of a list of texts, as flat arrays: the bins of a text's words, each once, with its share of them."""
 
     def __init__(self, texts: list[str]):
         known: dict[str, tuple[int, int, int]] = {}
-        bins, lengths, counts, language, syntax = [], [], [], [], []
+        bins, shares, counts, language, syntax = [], [], [], [], []
         for text in texts:
             tokens = _TOKEN.findall(text.lower())
             ids, votes, ends, clauses, letters, long_words = [], [0, 0, 0, 0], 0, 0, 0, 0
@@ -65,22 +67,42 @@ class Texts:
                     if got[2] >= 0:
                         votes[got[2]] += 1
             n = max(len(ids), 1)
-            bins.extend(ids or [0])
-            counts.append(len(ids) or 1)
+            own = Counter(ids) or {0: 1}
+            bins.extend(own)
+            shares.extend(k / n for k in own.values())
+            counts.append(len(own))
             language.append(int(np.argmax(votes)))
             syntax.append((
                 np.log(n / max(ends, 1)), letters / n / 5, np.log1p(clauses / max(ends, 1)), long_words / n, len(set(ids)) / n, 1.0
             ))
-        self.bins = np.array(bins, dtype=np.int64)
+        self._set(bins, shares, counts, language, syntax)
+
+    def _set(self, bins, shares, counts, language, syntax) -> None:
+        self.bins, self.shares = np.array(bins, dtype=np.int64), np.array(shares, dtype=float)
         self.counts = np.array(counts, dtype=np.int64)
-        self.starts = np.concatenate(([0], np.cumsum(self.counts)[:-1])).astype(np.int64) if counts else np.zeros(0, np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(self.counts)[:-1])).astype(np.int64) if len(counts) else np.zeros(0, np.int64)
         self.language = np.array(language, dtype=np.int64)
-        self.syntax = np.array(syntax).reshape(len(texts), len(SYNTAX))
+        self.syntax = np.array(syntax, dtype=float).reshape(len(counts), len(SYNTAX))
+
+    def rows(self) -> pd.DataFrame:
+        """The features of each text, to be sent in its place."""
+        ends = self.starts + self.counts
+        return pd.DataFrame({
+            "bins": [self.bins[a:b] for a, b in zip(self.starts, ends)], "shares": [self.shares[a:b] for a, b in zip(self.starts, ends)],
+            "language": self.language, "syntax": list(self.syntax),
+        })
+
+    @classmethod
+    def of_rows(cls, rows: pd.DataFrame) -> Texts:
+        made = cls.__new__(cls)
+        joined = lambda name: np.concatenate([np.zeros(0), *rows[name]])
+        made._set(joined("bins"), joined("shares"), [len(b) for b in rows["bins"]], rows["language"], [list(x) for x in rows["syntax"]])
+        return made
 
     def scores(self, vocabulary: np.ndarray, syntax: np.ndarray) -> np.ndarray:
         if not len(self.counts):
             return np.zeros(0)
-        words = np.add.reduceat(vocabulary[self.bins], self.starts) / self.counts
+        words = np.add.reduceat(vocabulary[self.bins] * self.shares, self.starts)
         return words + (self.syntax * syntax[self.language]).sum(axis=1)
 
 
@@ -104,9 +126,10 @@ class ReadingModel:
         self.vocabulary, self.syntax, self.knots = vocabulary, syntax, knots
 
     @classmethod
-    def fit(cls, texts: list[str], grades: list[float], seed: int = 3) -> ReadingModel:
-        data, grade, rng = Texts(texts), np.array(grades, dtype=float), np.random.default_rng(seed)
-        n = len(texts)
+    def fit(cls, texts: list[str] | Texts, grades: list[float], seed: int = 3) -> ReadingModel:
+        data = texts if isinstance(texts, Texts) else Texts(texts)
+        grade, rng = np.array(grades, dtype=float), np.random.default_rng(seed)
+        n = len(grade)
         vocabulary, syntax = np.zeros(BINS), np.zeros((len(LANGUAGES), len(SYNTAX)))
         if not n:
             middle = (np.array([0.0]), np.array([(LOWEST + HIGHEST) / 2]))
@@ -122,13 +145,12 @@ class ReadingModel:
             right += [b[harder > 0.4], a[harder < -0.4]]
         left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         doc_of = np.repeat(np.arange(n), data.counts)
-        share = (1 / data.counts)[doc_of]
         seen_v, seen_s = np.full(BINS, 1e-8), np.full(syntax.shape, 1e-8)
         for _ in range(ITERATIONS if len(left) else 0):  # AdaGrad on the pairwise logistic loss
             score = data.scores(vocabulary, syntax)
             pull = 1 / (1 + np.exp(np.clip(score[left] - score[right], -30, 30))) / len(left)
             push = np.bincount(right, pull, n) - np.bincount(left, pull, n)
-            grad_v = np.bincount(data.bins, push[doc_of] * share, BINS) + PENALTY * vocabulary / BINS
+            grad_v = np.bincount(data.bins, push[doc_of] * data.shares, BINS) + PENALTY * vocabulary / BINS
             grad_s = np.zeros_like(syntax)
             np.add.at(grad_s, data.language, push[:, None] * data.syntax)
             seen_v += grad_v**2
@@ -169,16 +191,30 @@ def level_batch(vocabulary: np.ndarray, syntax: np.ndarray, knots: list):
 LEVEL = "struct<band:bigint,score:double>"
 
 
+FEATURES = "graded_id long, grade double, bins array<long>, shares array<double>, language long, syntax array<double>"
+
+
+def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        texts = batch["text"].tolist()
+        for part in slices(texts):
+            rows = Texts(texts[part]).rows()
+            yield pd.concat([batch[["graded_id", "grade"]].iloc[part].reset_index(drop=True), rows], axis=1)
+
+
 def fit_reading_model(documents: DataFrame, labels: DataFrame) -> ReadingModel:
-    """Fits on at most MAX_GRADED graded documents, in the order of a hash of their key; grades of one document are averaged."""
-    graded = labels.filter(F.col("band").between(LOWEST, HIGHEST)).groupBy(F.col("doc_id").alias("graded_id")).agg(F.avg("band").alias("grade"))
+    """Fits on at most MAX_GRADED graded documents, in the order of a hash of their key; grades of one document are averaged.
+
+    The driver gets the features of each document, never its text: at most BINS words of 16 bytes, whatever its length.
+    """
+    graded = labels.filter(F.col("band").between(LOWEST, HIGHEST)).groupBy(F.col("doc_id").cast("long").alias("graded_id")).agg(F.avg("band").alias("grade"))
     bounded = graded.orderBy(F.xxhash64("graded_id"), "graded_id").limit(MAX_GRADED)
     # at most MAX_GRADED rows of 16 bytes, so the documents stay where they are
-    rows = documents.select("doc_id", "text").join(F.broadcast(bounded), F.col("doc_id") == F.col("graded_id")).filter(
+    texts = documents.select("doc_id", "text").join(F.broadcast(bounded), F.col("doc_id") == F.col("graded_id")).filter(
         F.col("text").isNotNull()
-    ).select("graded_id", "text", "grade").limit(2 * MAX_GRADED).collect()
-    rows = sorted({r[0]: r for r in rows}.values())
-    return ReadingModel.fit([r[1] for r in rows], [r[2] for r in rows])
+    ).groupBy("graded_id").agg(F.first("grade").alias("grade"), F.min("text").alias("text"))
+    rows = texts.mapInPandas(_features, FEATURES).toPandas().sort_values("graded_id")
+    return ReadingModel.fit(Texts.of_rows(rows), rows["grade"].tolist())
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame, model: ReadingModel | None = None) -> DataFrame:

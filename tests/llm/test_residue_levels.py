@@ -94,3 +94,11 @@ def test_messy_documents(spark):
     assert {r.band for r in reading_level.reading_levels(docs, labels.limit(0)).collect()} == {3}
     assert reading_level.reading_levels(docs.limit(0), labels).count() == 0
     assert reading_level.level_profile(reading_level.reading_levels(docs, labels), docs).count() >= 1
+
+
+def test_features_stand_for_the_texts():
+    texts = ["One two two. Three!", "", "Und der Dienst, 12 mal."]
+    data = reading_level.Texts(texts)
+    again = reading_level.Texts.of_rows(data.rows())
+    weights, syntax = np.random.default_rng(1).random(reading_level.BINS), np.random.default_rng(2).random((4, len(reading_level.SYNTAX)))
+    assert np.allclose(data.scores(weights, syntax), again.scores(weights, syntax)) and len(data.shares) == 2 + 1 + 1 + 5
