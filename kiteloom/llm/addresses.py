@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kiteloom.llm.skew import lookup_join
+from kiteloom.plans.runtime import cut_lineage
 
 # Tracking fields that do not belong to an address.
 TRACKING_FIELDS = r"^(utm_.*|source|ref|fbclid|gclid)$"
@@ -108,8 +109,8 @@ def address_copies(df: DataFrame, key: str, url: str) -> DataFrame:
     First means the smallest key; rows that share key and address count once. Null keys, null and blank
     addresses give no row. Members of groups above HOT_GROUP_ROWS are matched over SALTS salts.
     """
-    rows = keyed_addresses(df, key, url)
-    firsts = address_groups(rows).filter(F.col("n") > 1)
+    rows = cut_lineage(keyed_addresses(df, key, url))  # 32 bytes a row; the canonical text is worked out once
+    firsts = cut_lineage(address_groups(rows).filter(F.col("n") > 1))
     return (
         lookup_join(rows, firsts, ["h1", "h2", "chk"], size="n", spread="rec_id")
         .filter(F.col("rec_id") > F.col("first_id"))
