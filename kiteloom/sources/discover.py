@@ -44,7 +44,7 @@ def embedded_signal(pages: DataFrame) -> DataFrame:
     def probe(text):
         for kind in ("next_data", "rsc", "js_literal"):
             payload = embedded.EXTRACTORS[kind](text or "", {})
-            rows = embedded.largest_records(payload, embedded.ALIASES) if payload is not None else []
+            rows = embedded.largest_records(payload, embedded.Roles()) if payload is not None else []
             if rows:
                 return {"source": kind, "n_records": len(rows)}
         return {"source": None, "n_records": 0}

@@ -108,9 +108,18 @@ def test_embedded_payloads():
     assert [r["title"] for r in mapped["records"]] == ["x", "y"]
 
 
-def test_pick_quirks_are_kept():
-    assert embedded.pick({"a": " ", "b": "x"}, ["a", "b"]) == " " and embedded.pick({"a": 0}, ["a"]) == 0 and embedded.pick({"a": "", "b": []}, ["a", "b"]) is None
-    assert embedded.as_records(records(1), embedded.ALIASES) == []
+def test_quirks_of_values_are_kept():
+    roles = embedded.Roles({"title": "a"})
+    assert roles.value({"a": " "}, "title") == " " and roles.value({"a": 0}, "title") == 0 and roles.value({"a": "", "title": "x"}, "title") is None
+    assert embedded.as_records(records(1), embedded.Roles()) == []
+    first, last = [{"title": "x", "date": "d"}] * 2, [{"title": "y", "date": "d"}] * 2
+    assert embedded.largest_records({"a": first, "b": last}, embedded.Roles()) == last  # of equally long lists the later one
+    deep = first
+    for _ in range(14):
+        deep = [deep]
+    assert embedded.largest_records(deep, embedded.Roles()) == first and embedded.largest_records([deep], embedded.Roles()) == []
+    assert embedded.literal_json('[1, "]" /* ] */, {a: 1, b : [2,],},] tail', 0).replace(" ", "") == '[1,"]",{"a":1,"b":[2]}]'
+    assert embedded.literal_json("[1, [2]", 0) is None and embedded.records_at({"a": [first]}, "a.0", embedded.Roles()) == first and embedded.records_at({"a": 1}, "a.b", embedded.Roles()) == []
 
 
 def test_sitemaps():
