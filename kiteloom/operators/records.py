@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kiteloom.plans.runtime import cut_lineage
+
 HANGUL = "[가-힣]"
 TWIN_GAP_MINUTES = 15
+#: Shapes of addresses that are reported, and links that one needs.
+TOP_SHAPES, LEAST_LINKS = 8, 3
 
 
 def filled(column: str) -> Column:
@@ -149,9 +154,44 @@ def apply_summaries(articles: DataFrame, top: DataFrame, summaries: DataFrame) -
     return joined.withColumn("summary", F.coalesce(lines, F.col("summary"))).select(*articles.columns)
 
 
-def score_with(articles: DataFrame, scorer, schema: str = "seq long, score int, interests array<string>, reason string") -> DataFrame:
-    """Runs a pluggable scorer (iterator of pandas batches) next to the data; no row is filtered before it."""
-    return articles.mapInPandas(scorer, schema)
+class QuotaExhausted(Exception):
+    """Raised by a scorer that may not be asked again today."""
+
+
+SCORES = "batch_id long, idx int, ord int, score int, interests array<string>, reason string"
+
+
+def score_batches(articles: DataFrame, scorer, batch_size: int = 25) -> DataFrame:
+    """Scores (batch_id, idx, ord, score, interests, reason) of articles with a dense `seq`, for `apply_scores`.
+
+    `scorer` takes the pandas rows of one batch, with their place `idx`, and returns rows of idx, score, interests and
+    reason; it runs next to the data, and no article is filtered before it. A batch whose scorer fails scores 0
+    where it has no score yet; from the first batch that meets QuotaExhausted on, nothing is scored.
+    """
+    placed = articles.withColumn("batch_id", F.floor(F.col("seq") / batch_size).cast("long")).withColumn("idx", (F.col("seq") % batch_size).cast("int"))
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("idx").reset_index(drop=True)
+        number = batch["batch_id"].iloc[0]
+        try:
+            made = scorer(batch).assign(ord=lambda d: range(len(d)))
+        except QuotaExhausted:
+            return pd.DataFrame({"batch_id": [number], "idx": [-1], "ord": [-1], "score": [None], "interests": [None], "reason": [None]})
+        except Exception:  # noqa: BLE001
+            unset = batch[batch["score"].isna()]
+            made = pd.DataFrame({"idx": unset["idx"], "score": 0, "interests": [[]] * len(unset), "reason": None, "ord": 0})
+        return made.assign(batch_id=number)[["batch_id", "idx", "ord", "score", "interests", "reason"]]
+
+    answers = cut_lineage(placed.groupBy("batch_id").applyInPandas(run, SCORES))  # a scorer is asked once
+    end = answers.agg(F.min(F.when(F.col("ord") == -1, F.col("batch_id")))).first()[0]
+    return answers if end is None else answers.filter(F.col("batch_id") < end)
+
+
+def summary_inputs(top: DataFrame, pages: DataFrame) -> DataFrame:
+    """(url, body): what a summary is made of: the body that a feed gave, else the main text of pages(url, main_text); without either there is no row."""
+    texts = pages.groupBy("url").agg(F.first("main_text").alias("main_text"))
+    body = F.coalesce(F.when(filled("body"), F.col("body")), F.when(filled("main_text"), F.col("main_text")))
+    return top.join(texts, "url", "left").select("url", body.alias("body")).filter(F.col("body").isNotNull())
 
 
 def to_record() -> Column:
@@ -211,9 +251,13 @@ def scan_totals(articles: DataFrame) -> DataFrame:
     return articles.agg(F.count("*").alias("n"), F.min(local).alias("oldest"), F.max(local).alias("newest"), F.countDistinct("site").alias("n_sites"))
 
 
-def shape_frequency(links: DataFrame, shape: Column) -> DataFrame:
-    """The 8 most frequent shapes of `links` that occur at least 3 times; ties by first appearance."""
-    top = links.select(shape.alias("shape"), "seq").filter(F.col("shape").isNotNull()).groupBy("shape").agg(
+def shape_frequency(links: DataFrame, shape: Column, per: list[str] | None = None) -> DataFrame:
+    """The TOP_SHAPES most frequent shapes of `links`, over all or for each group of `per`, that occur at least LEAST_LINKS times; ties by first appearance."""
+    keys = per or []
+    counts = links.select(*keys, shape.alias("shape"), "seq").filter(F.col("shape").isNotNull()).groupBy(*keys, "shape").agg(
         F.count("*").alias("n"), F.min("seq").alias("first_seq")
     )
-    return top.orderBy(F.col("n").desc(), "first_seq").limit(8).filter(F.col("n") >= 3)
+    if not keys:
+        return counts.orderBy(F.col("n").desc(), "first_seq").limit(TOP_SHAPES).filter(F.col("n") >= LEAST_LINKS)
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.col("n").desc(), "first_seq"))
+    return counts.withColumn("_place", place).filter((F.col("_place") <= TOP_SHAPES) & (F.col("n") >= LEAST_LINKS)).drop("_place")

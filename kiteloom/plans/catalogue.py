@@ -16,7 +16,7 @@ from kiteloom.functions.civil import ntz_micros
 from kiteloom.functions.windows import Window, window_day
 from kiteloom.operators import records, site_state
 from kiteloom.operators.normalise_time import normalised_times
-from kiteloom.plans import report
+from kiteloom.plans import cases, report
 from kiteloom.plans.runtime import load, small_side
 from kiteloom.schema import Settings
 from kiteloom.sources import collect, storage
@@ -135,9 +135,10 @@ def site_pulse(spark, sf_dir):
 def _runs(spark, sf_dir) -> DataFrame:
     """Every site in every batch, with the newest local date that the batch brought for it."""
     a = load(spark, sf_dir, "articles").filter(F.col("published_at").isNotNull())
-    batches = small_side(a.select(F.col("batch_id").alias("run_id")).distinct())
     seen = a.groupBy("site", F.col("batch_id").alias("run_id")).agg(F.max(F.to_date("published_at")).alias("newest_seen_local_date"))
-    return a.select("site").distinct().join(batches).join(seen, ["site", "run_id"], "left")
+    runs = a.select(F.col("batch_id").alias("run_id")).distinct().agg(F.array_sort(F.collect_list("run_id")).alias("runs"))  # one number per run of the collector
+    every = a.select("site").distinct().join(F.broadcast(runs)).select("site", F.explode("runs").alias("run_id"))
+    return every.join(seen, ["site", "run_id"], "left")
 
 
 _RUNS = """
@@ -284,7 +285,7 @@ def feed_items_atom(spark, sf_dir):
     link = F.concat(F.lit('<link rel="self" href="x"/><link href="'), F.replace(_xml(F.col("link")), F.lit('"'), F.lit("&quot;")), F.lit('"/>'))
     doc = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry>'), _element("title", F.col("title")), link, _element("summary", F.col("summary")),
                    F.lit("<author>"), _element("name", F.col("author")), F.lit("</author>"), _element("published", F.col("published_raw")), F.lit("</entry></feed>"))
-    return _read_items(_items(spark, sf_dir).withColumn("doc", doc)).select("item_id", "title", "summary", "author", "published_raw")
+    return _read_items(_items(spark, sf_dir).withColumn("doc", doc))
 
 
 def feed_items_json(spark, sf_dir):
@@ -296,6 +297,10 @@ def feed_items_json(spark, sf_dir):
 _TRIM = "regexp_replace(regexp_replace(coalesce({0}, ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'), '^[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+|[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+$', '', 'g')"
 
 
+#: Text without blanks at its ends, as Python strips it.
+_STRIP = "regexp_replace({0}, '^[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+|[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+$', '', 'g')"
+
+
 def page_meta_tags(spark, sf_dir):
     m = load(spark, sf_dir, "page_meta")
     attr = lambda c: F.replace(_xml(c), F.lit('"'), F.lit("&quot;"))
@@ -306,11 +311,13 @@ def page_meta_tags(spark, sf_dir):
 
 
 def embedded_records(spark, sf_dir):
+    """A page for each article, with two records and their parts under other names."""
     a = load(spark, sf_dir, "articles").select("seq", "title", "url", "author", F.date_format("published_at", "yyyy-MM-dd").alias("day")).filter(F.col("day").isNotNull() & (F.trim("title") != "") & (F.trim("url") != ""))
-    node = F.struct(F.struct("title", "url", "author", F.col("day").alias("date")).alias("node"))
-    page = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), F.to_json(F.struct(F.struct(F.array(node, node).alias("edges")).alias("props"))), F.lit("</script>"))
-    read = collect.parsed_embedded(a.select("seq", page.alias("text"), F.lit("https://x.example/").alias("base"), F.lit('{"source": "next_data"}').alias("params")), "text", "base", "params")
-    return read.select("seq", F.size("embedded.records").alias("n"), F.element_at("embedded.records", 1)["date_raw"].alias("day"), F.col("embedded.error").alias("error"))
+    first = F.struct(F.struct("title", "url", F.struct(F.col("author").alias("name")).alias("author"), F.col("day").alias("date"), F.lit(None).cast("string").alias("slug")).alias("node"))
+    second = F.struct(F.struct(F.concat(F.lit("again "), "title").alias("title"), F.lit(None).cast("string").alias("url"), F.struct(F.lit(None).cast("string").alias("name")).alias("author"), F.col("day").alias("date"), F.concat(F.lit("p"), "seq").alias("slug")).alias("node"))
+    page = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), F.to_json(F.struct(F.struct(F.array(first, second).alias("edges")).alias("props"))), F.lit("</script>"))
+    read = collect.parsed_embedded(a.select("seq", page.alias("text"), F.lit("https://x.example/b/").alias("base"), F.lit('{"source": "next_data"}').alias("params")), "text", "base", "params")
+    return read.select("seq", F.col("embedded.error").alias("error"), F.explode("embedded.records").alias("r")).select("seq", "error", F.col("r.date_raw").alias("day"), "r.title", "r.author", F.when(F.startswith("r.title", F.lit("again ")), F.col("r.url")).alias("slug_url"))
 
 
 def sitemap_entries(spark, sf_dir):
@@ -335,17 +342,26 @@ def body_text(spark, sf_dir):
 
 
 def error_rollup(spark, sf_dir):
-    f = load(spark, sf_dir, "feed_items").filter(F.col("site").isNotNull())
-    failed = F.col("summary").isNull()
-    outcome = f.groupBy("site", F.month("fetched_at").alias("ord")).agg(
-        F.max(F.when(~failed, ntz_micros(F.col("fetched_at")))).alias("newest_seen"), F.count_if(~failed).alias("n_articles"),
-        F.when(F.count_if(failed) > 0, F.concat(F.lit("ValueError: month "), (F.first(F.month("fetched_at")) % 3).cast("string"))).alias("error"))
-    rolled = records.error_rollup(outcome.withColumn("newest_seen", F.lit(None).cast("long")).withColumn("n_articles", F.lit(0).cast("long")))
-    return rolled.select("site", "error", records.failure_reason(F.col("error")).alias("reason"))
+    """Authors as sites and the sites they write for as their sources; a source without any summary failed."""
+    f = load(spark, sf_dir, "feed_items").filter(F.col("site").isNotNull() & F.col("author").isNotNull())
+    good = F.col("summary").isNotNull()
+    outcome = f.groupBy(F.col("author").alias("site"), F.col("site").alias("source")).agg(
+        F.min("item_id").alias("ord"), F.max(F.when(good, ntz_micros(F.col("fetched_at")))).alias("newest_seen"), F.count_if(good).alias("n_articles"),
+        F.when(F.count_if(good) == 0, F.concat(F.lit("ValueError: nothing in "), F.count("*").cast("string"))).alias("error"))
+    rolled = records.error_rollup(outcome)
+    return rolled.select("site", "newest_seen", "n_articles", "error", records.failure_reason(F.col("error")).alias("reason"))
 
 
 def article_records(spark, sf_dir):
-    return articles(spark, sf_dir).select("seq", F.length(records.to_record()).alias("n_chars"), F.get_json_object(records.to_record(), "$.title").alias("title"), F.get_json_object(records.to_record(), "$.score").alias("score"))
+    line = records.to_record()
+    own = lambda key: F.get_json_object("line", f"$.{key}").alias(key)
+    return articles(spark, sf_dir).select("seq", line.alias("line")).select("seq", F.array_join(F.json_object_keys("line"), ",").alias("keys"), *[own(k) for k in ("published_at", "site", "title", "author", "subtitle", "reason", "score")])
+
+
+_RECORDS = """SELECT seq, concat_ws(',', 'published_at', CASE WHEN site IS NOT NULL THEN 'site' END, CASE WHEN title IS NOT NULL THEN 'title' END, CASE WHEN url IS NOT NULL THEN 'url' END, CASE WHEN author <> '' THEN 'author' END,
+  CASE WHEN subtitle <> '' THEN 'subtitle' END, CASE WHEN reason <> '' THEN 'reason' END, CASE WHEN score IS NOT NULL THEN 'score' END, CASE WHEN len(interests) > 0 THEN 'interests' END, CASE WHEN len(summary) > 0 THEN 'summary' END) AS keys,
+  strftime(published_at, '%Y-%m-%dT%H:%M:%S') || printf('%s%02d:%02d', CASE WHEN coalesce(published_offset_s, 0) < 0 THEN '-' ELSE '+' END, abs(coalesce(published_offset_s, 0)) // 3600, abs(coalesce(published_offset_s, 0)) % 3600 // 60) AS published_at,
+  site, title, nullif(author, '') AS author, nullif(subtitle, '') AS subtitle, nullif(reason, '') AS reason, CAST(score AS VARCHAR) AS score FROM articles WHERE published_at IS NOT NULL"""
 
 
 def nation_revenue(spark, sf_dir):
@@ -356,7 +372,7 @@ def nation_revenue(spark, sf_dir):
 
 
 def customers_without_orders(spark, sf_dir):
-    c, o = load(spark, sf_dir, "customer"), load(spark, sf_dir, "orders")
+    c, o = load(spark, sf_dir, "customer"), load(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "P")
     return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
 
 
@@ -380,7 +396,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in [*QUERIES, *cases.QUERIES]}
 
 
 # ---------------------------------------------------------------- the same in SQL
@@ -409,7 +425,7 @@ def oracles() -> dict[str, str]:
     atom = ", ".join(f"{_TRIM.format(c)} AS {c}" for c in ("title", "summary", "author", "published_raw"))
     plain = lambda c: f"coalesce(nullif(trim({c}, ' '), ''), '')"
     meta = lambda c: f"nullif(regexp_replace({c}, '^[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+|[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+$', '', 'g'), '')"
-    return {
+    return cases.oracles() | {
         "digest_top_k_per_window": _TOP + " SELECT day, url, seq, score, us FROM r WHERE place <= 5",
         "digest_sections": _EVENTS + f", b AS ({_BEST}), d AS (SELECT *, {_DAY} AS day FROM b WHERE rn = 1), r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY {_ORDER}) AS place FROM d) SELECT day, url, CASE WHEN coalesce(score, 0) >= 5 AND place <= 5 THEN place END AS position, CASE WHEN coalesce(score, 0) >= 5 AND place <= 5 THEN 'card' ELSE 'link' END AS section FROM r",
         "window_half_open_filter": _ARTICLES + f" SELECT site, count(*) AS n FROM a WHERE {_RANGE} GROUP BY site",
@@ -442,15 +458,22 @@ def oracles() -> dict[str, str]:
         "site_pattern_matches": f"WITH r AS (SELECT trim(name) AS site, regexp_extract(params, '\"pattern\" *: *\"((?:[^\"\\\\]|\\\\.)*)\"', 1) AS pattern FROM sites WHERE json_valid(params)), p AS (SELECT seq, site, {_PATH.format('url')} AS p FROM articles), s AS (SELECT *, list_filter(string_split(p, '/'), lambda x: x <> '') AS s FROM p), m AS (SELECT *, coalesce(regexp_matches(s[1], '^[a-z]{{2}}(?:[-_][A-Za-z]{{2,4}})?$'), false) AS l1, coalesce(regexp_matches(s[2], '^[a-z]{{2}}(?:[-_][A-Za-z]{{2,4}})?$'), false) AS l2 FROM s) SELECT seq, site FROM m JOIN r USING (site) WHERE pattern <> '' AND (regexp_matches(p, pattern) OR (l1 AND regexp_matches('/' || array_to_string(s[2:], '/'), pattern)) OR (l1 AND l2 AND regexp_matches('/' || array_to_string(s[3:], '/'), pattern)))",
         "nav_segment_filter": f"WITH p AS (SELECT site, list_filter(string_split({_LINK_PATH}, '/'), lambda x: x <> '') AS s FROM feed_items WHERE link IS NOT NULL) SELECT site, count(*) AS n FROM p WHERE NOT list_has_any(list_transform(s, lambda x: lower(x)), [" + ", ".join(f"'{w}'" for w in urls.NAV_SEGMENTS) + "]) GROUP BY site",
         "feed_items_rss": f"SELECT item_id, {items} FROM feed_items",
-        "feed_items_atom": f"SELECT item_id, {atom} FROM feed_items",
+        "feed_items_atom": f"SELECT item_id, {atom}, CASE WHEN coalesce(link, '') = '' THEN 'x' ELSE {_TRIM.format('link')} END AS link FROM feed_items",
         "feed_items_json": "SELECT item_id, " + ", ".join(f"{plain(c)} AS {c}" for c in ("title", "link", "summary", "author", "published_raw")) + " FROM feed_items",
         "page_meta_tags": "SELECT page_id, " + ", ".join(f"{meta(c)} AS {c}" for c in ("author", "subtitle", "published_raw")) + f", coalesce({meta('title')}, 'none') AS title, regexp_replace(og_type, '^\\s+|\\s+$', '', 'g') AS og_type FROM page_meta",
-        "embedded_records": "SELECT seq, 2 AS n, strftime(published_at, '%Y-%m-%d') AS day, CAST(NULL AS VARCHAR) AS error FROM articles WHERE published_at IS NOT NULL AND trim(title, ' ') <> '' AND trim(url, ' ') <> ''",
+        "embedded_records": f"WITH a AS (SELECT seq, {_STRIP.format('title')} AS title, nullif({_STRIP.format("coalesce(author, '')")}, '') AS author, title AS raw, strftime(published_at, '%Y-%m-%d') AS day FROM articles WHERE published_at IS NOT NULL AND trim(title, ' ') <> '' AND trim(url, ' ') <> '') SELECT seq, CAST(NULL AS VARCHAR) AS error, day, title, author, CAST(NULL AS VARCHAR) AS slug_url FROM a UNION ALL SELECT seq, NULL, day, {_STRIP.format("'again ' || raw")}, NULL, 'https://x.example/b/p' || seq FROM a",
         "sitemap_entries": "SELECT seq, strftime(published_at, '%Y-%m-%d') AS lastmod FROM articles WHERE published_at IS NOT NULL AND trim(url, ' ') <> ''",
         "list_cards": "SELECT seq, 'https://x.example/blog/post-' || seq AS url, epoch_us(date_trunc('day', published_at)) AS published_us FROM articles WHERE published_at IS NOT NULL AND url IS NOT NULL",
-        "error_rollup": "WITH o AS (SELECT site, month(fetched_at) AS ord, count(*) FILTER (WHERE summary IS NULL) AS bad FROM feed_items WHERE site IS NOT NULL GROUP BY 1, 2), e AS (SELECT site, ord, CASE WHEN bad > 0 THEN 'ValueError: month ' || (ord % 3) END AS error FROM o), f AS (SELECT site, error, min(ord) AS first_ord FROM e WHERE error IS NOT NULL GROUP BY 1, 2), j AS (SELECT site, string_agg(error, '; ' ORDER BY first_ord) AS error FROM f GROUP BY site) SELECT s.site, CASE WHEN s.all_failed THEN j.error END AS error, CASE WHEN s.all_failed THEN 'no articles matched' END AS reason FROM (SELECT site, bool_and(error IS NOT NULL) AS all_failed FROM e GROUP BY site) s LEFT JOIN j USING (site)",
+        "error_rollup": "WITH o AS (SELECT author AS site, site AS source, min(item_id) AS ord, max(epoch_us(fetched_at)) FILTER (WHERE summary IS NOT NULL) AS newest_seen, count(summary) AS n_articles, CASE WHEN count(summary) = 0 THEN 'ValueError: nothing in ' || count(*) END AS error FROM feed_items WHERE site IS NOT NULL AND author IS NOT NULL GROUP BY 1, 2), "
+                        "e AS (SELECT site, error, min(ord) AS ord FROM o WHERE error IS NOT NULL GROUP BY 1, 2), j AS (SELECT site, string_agg(error, '; ' ORDER BY ord) AS error FROM e GROUP BY site), r AS (SELECT site, max(newest_seen) AS newest_seen, CAST(sum(n_articles) AS BIGINT) AS n_articles FROM o GROUP BY site) "
+                        "SELECT r.*, CASE WHEN n_articles = 0 AND newest_seen IS NULL THEN error END AS error, CASE WHEN n_articles = 0 AND newest_seen IS NULL THEN 'no articles matched' END AS reason FROM r LEFT JOIN j USING (site)",
+        "recheck_rota": "WITH s AS (SELECT trim(name) AS name FROM sites WHERE trim(name) <> ''), h AS (SELECT name, hex(encode(name)) AS h FROM s), "
+                        "b AS (SELECT name, list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS bytes FROM h), "
+                        "c AS (SELECT name, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, x: list_reduce([xor(c, x), 1, 1, 1, 1, 1, 1, 1, 1], lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, CAST(3988292384 AS BIGINT)) ELSE r >> 1 END)), CAST(4294967295 AS BIGINT)) AS crc FROM b) "
+                        f"SELECT name, {', '.join(f'({(TODAY + dt.timedelta(days=d)).toordinal()} + crc) % 7 = 0 AS due_{d}' for d in range(7))} FROM c",
+        "article_records": _RECORDS,
         "nation_revenue": "SELECT n_name, CAST(sum(CAST(round(l_extendedprice * (1 - l_discount) * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n_lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
-        "customers_without_orders": "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+        "customers_without_orders": "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
         "site_set_operations": "SELECT site, CASE WHEN f AND a THEN 'both' WHEN f THEN 'feeds only' ELSE 'articles only' END AS part FROM (SELECT site, bool_or(t = 'f') AS f, bool_or(t = 'a') AS a FROM (SELECT site, 'f' AS t FROM feed_items UNION ALL SELECT site, 'a' FROM articles) WHERE site IS NOT NULL GROUP BY site)",
         "embedding_shape": "SELECT label, count(*) AS n, max(len(embedding)) AS width FROM embeddings GROUP BY label",
     }

@@ -8,6 +8,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kiteloom.functions.urls import page_url, sitemap_url
 from kiteloom.functions.windows import Window, daily_window, scan_window
 from kiteloom.operators.records import apply_scores, apply_summaries, collapse_twins, dedupe, select_top
 from kiteloom.operators.site_state import describe, fold_run, listing, sites_to_collect
@@ -17,18 +18,26 @@ from kiteloom.schema import Settings, with_seq
 from kiteloom.sources import collect, storage
 
 
-def tiers(targets: DataFrame, raw: DataFrame, pages: DataFrame, known: DataFrame, window: Window, now: dt.datetime, language: str = "ko") -> tuple[DataFrame, DataFrame]:
-    """(articles, results) of the target sites from raw(source_url, content, content_type) and pages(url, meta)."""
+def tiers(targets: DataFrame, raw: DataFrame, pages: DataFrame, known: DataFrame, window: Window, now: dt.datetime, language: str = "ko", max_pages: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(articles, results) of the target sites from raw(source_url, content, content_type) and pages(url, meta).
+
+    A sitemap is looked for at its usual place unless the parameters name another, and a list has up to
+    `max_pages` pages where its parameters say how they are addressed.
+    """
     variants = collect.source_variants(targets)
+    pages_of = F.when(F.col("fetcher") == "html_list", F.sequence(F.lit(1), F.lit(max_pages))).otherwise(F.array(F.lit(1)))
+    place = F.when(F.col("fetcher") == "sitemap", sitemap_url(F.col("source_url"), F.get_json_object("params", "$.sitemap_url"))).otherwise(
+        page_url(F.get_json_object("params", "$.page_url"), F.col("source_url"), F.col("page")))
+    variants = variants.withColumn("page", F.explode(pages_of)).withColumn("source_url", place).filter(F.col("source_url").isNotNull())
     docs = variants.join(raw, "source_url").select(
         F.col("name").alias("site"), "fetcher", "tz", "params", "source_url", "content",
         collect.decoded(F.col("content"), F.col("content_type")).alias("text"),
-        F.lit(int(now.timestamp() * 1_000_000)).cast("long").alias("now_us"), F.lit(1).alias("page"),
+        F.lit(int(now.timestamp() * 1_000_000)).cast("long").alias("now_us"), "page",
     )
     of = lambda kind: docs.filter(F.col("fetcher") == kind)
     parts = [
         collect.collect_feeds(of("feed"), pages, known, window), collect.collect_embedded(of("embedded"), window),
-        collect.collect_sitemaps(of("sitemap"), pages, known, window), collect.collect_lists(of("html_list"), pages, known, window),
+        collect.collect_sitemaps(of("sitemap"), pages, known, window, raw), collect.collect_lists(of("html_list"), pages, known, window),
     ]
     return collect.collected(parts, language)
 
@@ -43,7 +52,7 @@ def daily(spark: SparkSession, sites: DataFrame, raw: DataFrame, pages: DataFram
     states = cut_lineage(states)
     targets = cut_lineage(sites_to_collect(sites, states, today, settings.inactive_after_days, settings.recheck_every_days, only))
     known = storage.known_urls(spark, store, today)
-    articles, results = tiers(targets, raw, pages, known, window, now, settings.language)
+    articles, results = tiers(targets, raw, pages, known, window, now, settings.language, settings.max_list_pages)
     ordered = cut_lineage(with_seq(articles.drop("seq"), "published_at", "url"))
     results = cut_lineage(results)
     ranked = apply_scores(ordered, scores, list(settings.interests), settings.batch_size)

@@ -202,47 +202,61 @@ def sitemap_candidates(entries: DataFrame) -> DataFrame:
     return entries.filter(matches_article(path(F.col("loc")), F.col("pattern")) & ~is_navigation(path(F.col("loc"))))
 
 
-def sitemap_detail(candidates: DataFrame, start_us: int) -> DataFrame:
-    """Candidates worth a look at their page: those not older than the slack before the window, newest first, at most the cap.
+def sitemap_detail(candidates: DataFrame, start_us: int, known: DataFrame | None = None) -> DataFrame:
+    """Candidates worth a look at their page: not known, not older than the slack before the window, newest first, at most the cap.
 
-    An old entry ends the list, and with it the undated ones, which come last. The cap is applied before the
-    rows of a site meet.
+    An old entry ends the list, and with it the undated ones, which come last. Known ones spend nothing of the
+    cap, which is applied before the rows of a site meet.
     """
     limit = start_us - LASTMOD_SLACK_DAYS * 86_400_000_000
     old = candidates.groupBy("site").agg(F.max((F.col("lastmod_us") < limit).cast("int")).alias("_old"))
     fresh = (F.col("lastmod_us") >= limit) | (F.col("lastmod_us").isNull() & (F.coalesce("_old", F.lit(0)) == 0))
     order = W.partitionBy("site").orderBy(F.col("lastmod_us").desc_nulls_last(), "loc")
-    kept = candidates.join(old, "site").filter(fresh).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= DETAIL_CAP_SITEMAP)
+    unknown = candidates if known is None else candidates.join(known.select("url").distinct(), "url", "left_anti")
+    kept = unknown.join(old, "site").filter(fresh).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= DETAIL_CAP_SITEMAP)
     return kept.select(*candidates.columns)
 
 
-def collect_sitemaps(raw: DataFrame, pages: DataFrame, known: DataFrame, window: Window) -> tuple[DataFrame, DataFrame]:
-    """(articles, outcomes) of sitemap documents: raw(site, tz, params, now_us, content), pages(url, meta), known(url).
+def sitemap_documents(raw: DataFrame, children: DataFrame | None) -> DataFrame:
+    """`raw` with parsed sitemaps, and the documents that its index files name, one level down, found in children(source_url, content)."""
+    read = parsed_sitemaps(raw)
+    if children is None:
+        return read
+    rest = [c for c in raw.columns if c != "content"]
+    named = read.select(*rest, F.explode("sitemap.children").alias("_child")).dropDuplicates(["site", "_child"])
+    found = named.join(children.select(F.col("source_url").alias("_child"), "content"), "_child").select(*rest, "content")
+    return read.unionByName(parsed_sitemaps(found.select(*raw.columns)))
+
 
-    With date_from = lastmod the entry's date is trusted; else the page must declare an article and its own
-    date goes before the entry's.
+def collect_sitemaps(raw: DataFrame, pages: DataFrame, known: DataFrame, window: Window, children: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(articles, outcomes) of sitemap documents: raw(site, tz, params, now_us, content), pages(url, meta), known(url), children(source_url, content).
+
+    With date_from = lastmod the entry's date is trusted, and the newest one is the site's pulse whatever its page or
+    the window; else the page must declare an article and its own date goes before the entry's.
     """
-    read = parsed_sitemaps(raw)
+    read = sitemap_documents(raw, children)
     entries = read.select("site", "tz", "params", "now_us", F.explode("sitemap.entries").alias("e")).select(
         "site", "tz", "params", "now_us", F.col("e.loc").alias("loc"), F.col("e.lastmod").alias("raw"), F.coalesce(F.get_json_object("params", "$.article_regex"), F.lit(".")).alias("pattern"))
-    dated = _dated(entries, "raw", "tz", "now_us").withColumnRenamed("published_us", "lastmod_us").drop("offset_s")
-    candidates = sitemap_candidates(dated).withColumn("url", canonical_url(F.col("loc")))
+    dated = _dated(entries, "raw", "tz", "now_us").withColumnRenamed("published_us", "lastmod_us").withColumnRenamed("offset_s", "lastmod_offset_s")
+    candidates = sitemap_candidates(dated).withColumn("url", canonical_url(F.col("loc"))).dropDuplicates(["site", "url"])
     trusted = F.coalesce(F.get_json_object("params", "$.date_from") == "lastmod", F.lit(False))
-    start_us = int(window.start.timestamp() * 1_000_000)
-    detail = sitemap_detail(candidates.filter(~trusted), start_us).join(known.select("url").distinct(), "url", "left_anti")
-    wanted = candidates.filter(trusted).select(*detail.columns).unionByName(detail)
-    joined = wanted.join(pages.dropDuplicates(["url"]), "url", "left").withColumn("own_raw", F.col("meta.published_raw"))
-    read_own = joined.withColumn("_d", parse_date_column(F.col("own_raw"), F.col("tz"), F.col("now_us")))
-    is_trusted = F.coalesce(F.get_json_object("params", "$.date_from") == "lastmod", F.lit(False))
-    article = read_own.filter(is_trusted | F.coalesce(F.col("meta.declares_article"), F.lit(False))).select(
+    start_us, end_us = (int(t.timestamp() * 1_000_000) for t in (window.start, window.end))
+    detail = sitemap_detail(candidates.filter(~trusted), start_us, known)
+    inside = candidates.filter(trusted & (F.col("lastmod_us") >= start_us) & (F.col("lastmod_us") < end_us)).select(*detail.columns)
+    joined = inside.unionByName(detail).join(pages.dropDuplicates(["url"]), "url", "left")
+    read_own = joined.withColumn("_d", parse_date_column(F.col("meta.published_raw"), F.col("tz"), F.col("now_us")))
+    own_date = ~trusted & F.col("_d.us").isNotNull()
+    article = read_own.filter(trusted | F.coalesce(F.col("meta.declares_article"), F.lit(False))).select(
         "site", strip_suffix(F.col("meta.title"), F.get_json_object("params", "$.title_strip")).alias("title"), "url",
-        F.when(is_trusted, F.col("lastmod_us")).otherwise(F.coalesce(F.col("_d.us"), F.col("lastmod_us"))).alias("published_us"),
-        F.col("_d.offset_s").alias("offset_s"), F.col("meta.author").alias("author"), F.col("meta.subtitle").alias("subtitle"), F.lit(None).cast("string").alias("body"),
+        F.when(own_date, F.col("_d.us")).otherwise(F.col("lastmod_us")).alias("published_us"),
+        F.when(own_date, F.col("_d.offset_s")).otherwise(F.col("lastmod_offset_s")).alias("offset_s"), F.col("meta.author").alias("author"), F.col("meta.subtitle").alias("subtitle"), F.lit(None).cast("string").alias("body"),
     ).filter(F.col("title").isNotNull() & F.col("published_us").isNotNull())
     articles, seen = _finish(article, window)
-    found = read.groupBy("site").agg(F.max("sitemap.error").alias("parse_error")).join(candidates.groupBy("site").agg(F.count("*").alias("n")), "site", "left")
+    listed = candidates.groupBy("site").agg(F.count("*").alias("n"), F.max(F.when(trusted, F.col("lastmod_us"))).alias("listed_us"))
+    found = read.groupBy("site").agg(F.max("sitemap.error").alias("parse_error")).join(listed, "site", "left")
     outcomes = found.join(seen, "site", "left").select(
-        "site", "newest_us", F.coalesce("parse_error", F.when(F.col("n").isNull(), "ValueError: no entry matches")).alias("error"))
+        "site", F.greatest("newest_us", "listed_us").alias("newest_us"),
+        F.when(F.col("n").isNull(), F.coalesce("parse_error", F.lit("ValueError: no entry matches"))).alias("error"))
     return articles, outcomes
 
 
@@ -256,27 +270,52 @@ def stop_at_old_runs(cards: DataFrame, limit: int = OLD_RUN) -> DataFrame:
     upto = by_site.rowsBetween(W.unboundedPreceding, 0)
     island = F.sum((F.col("age") == "new").cast("int")).over(upto)
     marked = cards.withColumn("_island", F.coalesce(island, F.lit(0)))
-    run = F.sum((F.col("age") == "old").cast("int")).over(W.partitionBy("site", "_island").orderBy("ord").rowsBetween(W.unboundedPreceding, 0))
+    own = ["site", "page", "_island"] if "page" in cards.columns else ["site", "_island"]
+    run = F.sum((F.col("age") == "old").cast("int")).over(W.partitionBy(*own).orderBy("ord").rowsBetween(W.unboundedPreceding, 0))
     full = marked.withColumn("_full", F.coalesce(run, F.lit(0)) >= limit)
     before = F.max(F.col("_full").cast("int")).over(by_site.rowsBetween(W.unboundedPreceding, -1))
     return full.withColumn("_before", before).filter(F.coalesce("_before", F.lit(0)) == 0).drop("_island", "_full", "_before")
 
 
+def page_turns(cards: DataFrame) -> DataFrame:
+    """Cards(site, page, position, url, _cap) that are looked at: on each page the first _cap links that no earlier page had looked at.
+
+    What a page leaves over may come on a later one, so pages follow each other; a site's cards are at most those of
+    its list pages.
+    """
+    def turns(group: pd.DataFrame) -> pd.DataFrame:
+        seen: set[str] = set()
+        kept = []
+        for _, page in group.sort_values(["page", "position"]).groupby("page", sort=True):
+            fresh = page[~page["url"].isin(seen)]
+            kept.append(fresh.head(int(fresh["_cap"].iloc[0])) if len(fresh) else fresh)
+            seen.update(kept[-1]["url"])
+        return pd.concat(kept)
+
+    return cards.groupBy("site").applyInPandas(turns, cards.schema).drop("_cap")
+
+
 def collect_lists(raw: DataFrame, pages: DataFrame, known: DataFrame, window: Window) -> tuple[DataFrame, DataFrame]:
     """(articles, outcomes) of list pages: raw(site, tz, params, now_us, text, source_url, page), pages(url, meta), known(url).
 
-    With date_from = list the card's date counts and vouches for the link; else the page itself must declare an
-    article and give the date, and a run of old pages ends a site's list.
+    With date_from = list the card's date counts and vouches for the link, and a page with a card older than the window
+    is the last one; else the page itself must declare an article and give the date, and a run of old pages ends
+    a site's list. A page without links ends it too. Each page gives at most max_articles links that no
+    earlier page had, in list mode those in the window; known ones are not looked up.
     """
     patterned = raw.withColumn("pattern", F.coalesce(F.get_json_object("params", "$.article_regex"), F.lit(".")))
-    read = parsed_lists(patterned, "text", "source_url", "pattern", "tz", "now_us")
+    by_list = F.coalesce(F.get_json_object("params", "$.date_from") == "list", F.lit(False))
+    start_us, end_us = (int(t.timestamp() * 1_000_000) for t in (window.start, window.end))
+    whole = parsed_lists(patterned, "text", "source_url", "pattern", "tz", "now_us")
+    old_card = F.exists("list.entries", lambda e: e["published_us"] < start_us)
+    ended = F.when(F.size("list.entries") == 0, F.col("page") - 1).when(by_list & F.coalesce(old_card, F.lit(False)), F.col("page"))
+    last = F.min(ended).over(W.partitionBy("site").orderBy("page").rowsBetween(W.unboundedPreceding, 0))
+    read = whole.withColumn("_last", last).filter(F.col("_last").isNull() | (F.col("page") <= F.col("_last")) | (F.col("page") == 1)).drop("_last")
     cards = read.select("site", "tz", "params", "now_us", "page", F.explode("list.entries").alias("e")).select(
         "site", "tz", "params", "now_us", "page", F.col("e.url").alias("url"), F.col("e.published_us").alias("card_us"), F.col("e.position").alias("position"))
-    once = W.partitionBy("site", "url").orderBy("page", "position")
+    inside = F.coalesce((F.col("card_us") >= start_us) & (F.col("card_us") < end_us), F.lit(False))
     limit = F.coalesce(F.get_json_object("params", "$.max_articles").try_cast("int"), F.lit(LIST_CAP))
-    first = cards.withColumn("_n", F.row_number().over(once)).filter(F.col("_n") == 1).drop("_n").filter(F.col("position") < limit)
-    by_list = F.coalesce(F.get_json_object("params", "$.date_from") == "list", F.lit(False))
-    start_us, end_us = (int(t.timestamp() * 1_000_000) for t in (window.start, window.end))
+    first = page_turns(cards.filter(~by_list | inside).withColumn("_cap", limit))
     unknown = first.join(known.select("url").distinct(), "url", "left_anti")
     joined = unknown.join(pages.dropDuplicates(["url"]), "url", "left").withColumn("_d", parse_date_column(F.col("meta.published_raw"), F.col("tz"), F.col("now_us")))
     published = F.when(by_list, F.col("card_us")).otherwise(F.col("_d.us"))
@@ -288,7 +327,7 @@ def collect_lists(raw: DataFrame, pages: DataFrame, known: DataFrame, window: Wi
         F.col("_d.offset_s").alias("offset_s"), F.col("meta.author").alias("author"), F.col("meta.subtitle").alias("subtitle"), F.lit(None).cast("string").alias("body"),
     ).filter(F.col("title").isNotNull() & F.col("published_us").isNotNull())
     articles, seen = _finish(article, window)
-    shown = first.filter(by_list).groupBy("site").agg(F.max("card_us").alias("listed_us"))
+    shown = cards.filter(by_list).groupBy("site").agg(F.max("card_us").alias("listed_us"))
     totals = read.groupBy("site").agg(F.max("list.error").alias("parse_error"), F.sum(F.size("list.entries")).alias("n"))
     outcomes = totals.join(seen, "site", "left").join(shown, "site", "left").select(
         "site", F.greatest("newest_us", "listed_us").alias("newest_us"), F.coalesce("parse_error", F.when(F.col("n") == 0, "ValueError: no link matches")).alias("error"))

@@ -12,6 +12,10 @@ FEED_RESULT = f"struct<items:array<{ITEM}>,error:string>"
 _CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 
 
+def without_control_bytes(data: bytes) -> bytes:
+    return _CONTROL.sub(b"", data).lstrip()
+
+
 def _local(element: ET.Element) -> str:
     return element.tag.rsplit("}", 1)[-1] if isinstance(element.tag, str) else ""
 
@@ -69,7 +73,7 @@ def feed_items(raw: bytes | str | None) -> list[dict]:
         entries = json.loads(data.decode("utf-8-sig", "replace")).get("items") or []
         return [_json_item(e) for e in entries if isinstance(e, dict)]
     try:
-        root = ET.fromstring(_CONTROL.sub(b"", data).lstrip())
+        root = ET.fromstring(without_control_bytes(data))
     except ET.ParseError as e:
         raise ValueError(f"no feed: {e}") from None
     kind = _local(root)

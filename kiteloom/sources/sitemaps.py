@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 
+from kiteloom.sources.feeds import without_control_bytes
+
 MAX_CHILDREN = 8
 SITEMAP_RESULT = "struct<entries:array<struct<loc:string,lastmod:string>>,children:array<string>,error:string>"
 
@@ -12,7 +14,7 @@ def read_sitemap(raw) -> dict:
     """{entries, children, error}: the addresses of a urlset, or the first child sitemaps of an index."""
     try:
         data = raw.encode() if isinstance(raw, str) else raw or b""
-        root = ET.fromstring(data.lstrip())
+        root = ET.fromstring(without_control_bytes(data))
     except ET.ParseError as e:
         return {"entries": [], "children": [], "error": f"ParseError: {e}"}
     local = lambda e: e.tag.rsplit("}", 1)[-1]

@@ -62,7 +62,9 @@ def test_state_and_interests(spark, tmp_path):
     assert {r.site: (str(r.last_post), r.empty_runs) for r in storage.load_state(spark, path).collect()} == {"a": ("2024-01-01", 3), "b": ("2024-02-01", 0)}
     (tmp_path / "i.json").write_text(json.dumps({"interests": [{"name": "data", "keywords": ["a", "b"], "special_instructions": "only x"}, {"name": "ml"}]}))
     texts = [r.text for r in report.interest_prompt(storage.load_interests(spark, str(tmp_path / "i.json"))).orderBy("name").collect()]
-    assert texts == ["- data: a, b\n    note: only x", "- ml: "]
+    assert texts == ["- data: a, b (note: only x)", "- ml: "]
+    noted = report.interest_prompt(storage.load_interests(spark, str(tmp_path / "i.json")), " be strict ").filter("name is null").collect()
+    assert [r.text for r in noted] == ["For all interests: be strict"]
 
 
 def rss(*items):
@@ -142,3 +144,28 @@ def test_twin_and_distinct_streams(spark, tmp_path):
     assert sorted(r.n for r in out["twins"]) == sorted(r.n for r in batch) == [1, 2, 3]
     assert len(out["urls"]) == 7
     assert sum(r.n for r in out["days"]) == 6
+
+
+def test_reports_count_all_and_show_how_much_is_left_out(spark, tmp_path):
+    rows = frame(spark, *[article(i, url=f"https://x/{i}", title=f"T{i}", score=i % 7, minutes=-i) for i in range(30)])
+    failed = spark.createDataFrame([(f"s{i}", "HTTPError: HTTP Error 404") for i in range(5)], "site string, error string")
+    window = Window(T0, T0 + dt.timedelta(days=1))
+    subject, page, text = report.render_digest(rows, failed, Settings(top_k=3), window, 3, 1, shown=4)
+    assert "30" in subject and "30건" in text and "나머지 27건" in text and "… +23" in text and "수집 실패 5건" in text and ", … +1" in text and page.count("<li class") == 7
+    report.write_links(rows, Settings(top_k=3), str(tmp_path / "links"))
+    assert spark.read.text(str(tmp_path / "links")).filter("value like '%https://x/%'").count() == 30
+    tagged = frame(spark, article(1, title="A", score=9)).withColumn("interests", F.array(F.lit("<data>")))
+    _, page, _ = report.render_digest(tagged, failed.limit(0), Settings(), window, 1, 0)
+    assert "[&lt;data&gt;]" in page and report.write_preview(str(tmp_path / "p"), page, "t") == [str(tmp_path / "p" / "preview.html"), str(tmp_path / "p" / "preview.txt")]
+    assert report.scan_text(rows, "x.jsonl", 20, 10).splitlines()[-1].strip().startswith("30")
+
+
+def test_settings_from_a_file_and_the_environment():
+    from kiteloom.schema import load_settings
+
+    text = "collection:\n  timezone: UTC\n  recheck_inactive_every_days: 3\nranking:\n  top_k: 7\nemail:\n  sender_address: a@x\n  recipients: [b@x]\noutput:\n"
+    got = load_settings(text, {"MAIL_RECIPIENTS": " c@x, ,d@x", "MAIL_SENDER": " "}, ("data",))
+    assert (got.timezone, got.recheck_every_days, got.top_k, got.sender, got.recipients, got.interests, got.batch_size) == ("UTC", 3, 7, "a@x", ("c@x", "d@x"), ("data",), 25)
+    assert load_settings("").top_k == 5 and load_settings("", {"MAIL_SENDER": "e@x"}).sender == "e@x"
+    with pytest.raises(ValueError):
+        load_settings("ranking:\n  top_k: 0\n")

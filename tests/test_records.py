@@ -5,6 +5,7 @@ import json
 import random
 import zlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +150,35 @@ def test_folds_agree_with_a_loop(spark):
         one = df.filter(F.col("run_id") == run)
         state = site_state.fold_run(state, one)
     assert {r.site: (r.last_post, r.empty_runs) for r in state.collect()} == brute_fold([r for r in runs if r[0] < 2])
+
+
+def test_scoring_survives_failures_and_an_exhausted_quota(spark):
+    rows = frame(spark, *[article(i, url=str(i), score=3 if i == 4 else None) for i in range(10)])
+
+    def scorer(batch):
+        if (batch["seq"] == 3).any():
+            raise RuntimeError("broken answer")
+        return pd.DataFrame({"idx": batch["idx"], "score": 7, "interests": [["data"]] * len(batch), "reason": "fits"})
+
+    def exhausted(batch):
+        if batch["seq"].min() >= 6:
+            raise records.QuotaExhausted
+        return scorer(batch)
+
+    for run, want in ((scorer, [7, 7, 7, 0, 3, 0, 7, 7, 7, 7]), (exhausted, [7, 7, 7, 0, 3, 0, None, None, None, None])):
+        scored = records.apply_scores(rows, records.score_batches(rows, run, 3), ["data"], 3)
+        assert [r.score for r in scored.orderBy("seq").collect()] == want
+    assert records.score_batches(rows.limit(0), scorer).count() == 0
+
+
+def test_summaries_fall_back_to_the_page(spark):
+    top = frame(spark, article(1, "a"), article(2, "b"), article(3, "c")).withColumn("body", F.when(F.col("url") == "a", "own").otherwise(""))
+    pages = spark.createDataFrame([("a", "page a"), ("b", "page b"), ("c", "")], "url string, main_text string")
+    assert sorted((r.url, r.body) for r in records.summary_inputs(top, pages).collect()) == [("a", "own"), ("b", "page b")]
+
+
+def test_dense_numbers_follow_the_order_without_one_task_for_all(spark):
+    from kiteloom.schema import with_seq
+
+    rows = spark.range(500).select((F.col("id") * 7919 % 500).alias("x"), F.lit("r").alias("r")).repartition(6)
+    assert [(r.x, r.seq) for r in with_seq(rows, "x").orderBy("seq").collect()] == [(i, i) for i in range(500)]

@@ -126,6 +126,7 @@ def test_sitemaps():
     index = b"<sitemapindex>" + b"".join(b"<sitemap><loc>https://x.example/%d.xml</loc></sitemap>" % i for i in range(9)) + b"</sitemapindex>"
     assert len(sitemaps.read_sitemap(index)["children"]) == 8
     got = sitemaps.read_sitemap(b'<urlset xmlns="s"><url><loc> https://x.example/a </loc></url><url><lastmod>2024</lastmod></url></urlset>')
+    assert sitemaps.read_sitemap(b"<urlset><url><loc>\x08https://x.example/c</loc></url></urlset>")["entries"][0]["loc"] == "https://x.example/c"
     assert got["entries"] == [{"loc": "https://x.example/a", "lastmod": None}] and sitemaps.read_sitemap(b"<x")["error"] and sitemaps.read_sitemap(None)["error"]
 
 
@@ -137,6 +138,15 @@ def test_sitemap_ends_at_the_first_old_entry(spark):
     assert sorted((r.site, r.loc[-2:]) for r in got) == [("a", "p0"), ("a", "p1"), ("b", "/p")]
 
 
+def test_known_entries_spend_nothing_of_the_cap(spark):
+    us = lambda d: int(dt.datetime(2024, 1, d, tzinfo=UTC).timestamp() * 1e6)
+    urls = [f"https://x.example/p{i:02d}" for i in range(70)]
+    df = spark.createDataFrame([("a", ".", u, us(20), u) for u in urls], "site string, pattern string, loc string, lastmod_us long, url string")
+    known = spark.createDataFrame([(u,) for u in urls[:60]], "url string")
+    assert sorted(r.loc for r in collect.sitemap_detail(df, us(19), known).collect()) == urls[60:]
+    assert collect.sitemap_detail(df, us(19)).count() == collect.DETAIL_CAP_SITEMAP
+
+
 def test_a_run_of_six_old_pages_ends_a_list(spark):
     ages = {"five": ["old"] * 5 + ["new"] + ["old"] * 6 + ["new"], "six": ["old"] * 3 + [None] + ["old"] * 3 + ["new"]}
     rows = [(site, i, a) for site, values in ages.items() for i, a in enumerate(values)]
@@ -166,9 +176,13 @@ def test_discovery(spark):
     best = discover.validated_feeds(candidates, raw).collect()
     assert [(r.feed_url, r.n_items, r.n_dated, r.any_author) for r in best] == [("https://x.example/feed", 3, 2, True)]
     shapes = discover.frequent_shapes(discover.page_links(pages)).collect()
-    assert [(r["shape"], r.n) for r in shapes] == [("^/blog/[^/]+/?$", 3)]
-    hits = spark.createDataFrame([("^/blog/[^/]+/?$", 2)], "shape string, hits int")
-    assert discover.best_shape(discover.frequent_shapes(discover.page_links(pages)), hits).first()[0] == "^/blog/[^/]+/?$"
+    assert [(r.url, r["shape"], r.n) for r in shapes] == [("https://x.example/blog", "^/blog/[^/]+/?$", 3)]
+    links = discover.page_links(pages)
+    samples = discover.sampled_links(links, discover.frequent_shapes(links))
+    assert sorted(r.link for r in samples.collect()) == ["https://x.example/blog/first-long-post", "https://x.example/blog/second-long-post"]
+    facts = spark.createDataFrame([("https://x.example/blog/first-long-post", True, True)], "url string, dated boolean, is_article boolean")
+    best = discover.best_shape(discover.frequent_shapes(links), samples, facts).collect()
+    assert [(r.url, r["shape"], r.n_links) for r in best] == [("https://x.example/blog", "^/blog/[^/]+/?$", 3)]
     votes = spark.createDataFrame([("x", True), ("x", True), ("x", False), ("y", True), ("y", False)], "name string, dated boolean")
     assert {r.name: r.from_detail for r in discover.detail_vote(votes).collect()} == {"x": True, "y": False}
     signal = spark.createDataFrame([("u", f'<script id="__NEXT_DATA__">{json.dumps(records(3))}</script>'), ("v", "none")], "url string, text string")
