@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kiteloom.llm.batches import sampled_texts
 from kiteloom.plans.runtime import spread
 
 #: Records read for fitting, per column.
@@ -276,8 +277,7 @@ def fit_encoding_model(columns: list[tuple[DataFrame, str]]) -> ChainModel:
     """Fits the model on at most SAMPLE_ROWS texts beyond ASCII of each column."""
     texts: list[str] = []
     for df, name in columns:
-        odd = df.select(F.col(name).alias("t")).filter(F.col("t").rlike(r"[^\x00-\x7f]"))
-        texts += [r[0] for r in odd.limit(SAMPLE_ROWS).collect()]
+        texts += sampled_texts(df, name, SAMPLE_ROWS, F.col(name).rlike(r"[^\x00-\x7f]"))
     return fit_on(texts)
 
 
