@@ -105,6 +105,28 @@ class ItemIndex:
             yield doc_at, self.positions[np.repeat(first[own], count[own]) + within]
 
 
+def _ending_runs(equal: np.ndarray) -> np.ndarray:
+    """For each place of each row, how many true values in a row end there."""
+    at = np.arange(equal.shape[1])
+    return at - np.maximum.accumulate(np.where(equal, -1, at), axis=1)
+
+
+def one_edit_stretch(doc: np.ndarray, item: np.ndarray, low: int, width: int) -> int:
+    """`aligned_stretch` for one edit, all positions at once: what ends before the edit and what starts after it."""
+    place = np.arange(len(item))[None, :] + low + np.arange(width)[:, None]
+    inside = (place >= 0) & (place < len(doc))
+    if not inside.any():
+        return min(1, len(item))
+    equal = inside & (doc[np.where(inside, place, 0)] == item[None, :])
+    none = np.zeros((width, 1), dtype=np.int64)
+    before = np.concatenate((none, _ending_runs(equal)), axis=1)  # [:, i]: the run that ends before i
+    after = np.concatenate((_ending_runs(equal[:, ::-1])[:, ::-1], none), axis=1)  # [:, i]: the run that starts at i
+    exchanged = before[:, :-1] + 1 + after[:, 1:]
+    passed_over = before[:-1] + after[1:]
+    left_out = before[1:, :-1] + 1 + after[:-1, 1:]
+    return int(max(exchanged.max(initial=0), passed_over.max(initial=0), left_out.max(initial=0)))
+
+
 def aligned_stretch(doc: np.ndarray, item: np.ndarray, low: int, width: int, edits: int = EDITS) -> int:
     """Most characters of the item in a row that agree with the document but for `edits` edits, along the diagonals low .. low + width - 1.
 
@@ -112,9 +134,8 @@ def aligned_stretch(doc: np.ndarray, item: np.ndarray, low: int, width: int, edi
     """
     best, none = 0, [0] * (width + 2)
     before = [none] * (edits + 1)  # by edits and diagonal, with a border on each side
-    lo, hi = max(0, -(low + width - 1)), min(len(item), len(doc) - low)
     letters = item.tolist()
-    for i in range(lo, hi):
+    for i in range(len(letters)):
         at, now = i + low, []
         equal = [0 <= at + d < len(doc) and doc[at + d] == letters[i] for d in range(width)]
         for e in range(edits + 1):
@@ -181,7 +202,8 @@ def leaks_in(index: ItemIndex, texts: list[str]) -> list[tuple[int, int]]:
         doc_end = starts[d + 1] - 1 if d + 1 < len(starts) else len(points) - 1
         item_end = index.starts[i + 1] - 1 if i + 1 < len(index.starts) else len(index.points) - 1
         document, wanted = points[starts[d]: doc_end], index.points[index.starts[i]: item_end]
-        if aligned_stretch(document, wanted, low, width) < index.shortest[i]:
+        stretch = one_edit_stretch(document, wanted, low, width) if EDITS == 1 else aligned_stretch(document, wanted, low, width)
+        if stretch < index.shortest[i]:
             continue
         if any(longest_word_run(document, wanted, s) >= MIN_WORDS for s in range(low, low + width)):
             found.append((d, i))

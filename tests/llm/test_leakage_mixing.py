@@ -70,6 +70,14 @@ def test_banded_alignment_bears_the_budgeted_edits():
         assert leakage.aligned_stretch(point(text), point(item), -2, 4, edits) == want, (text, edits, want)
 
 
+def test_the_alignment_of_one_edit_equals_the_general_one():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        doc, item = rng.integers(0, 3, rng.integers(1, 30)), rng.integers(0, 3, rng.integers(1, 25))
+        low = int(rng.integers(-8, 8))
+        assert leakage.one_edit_stretch(doc, item, low, 4) == max(leakage.aligned_stretch(doc, item, low, 4, 1), 1), (doc, item, low)
+
+
 def test_permutations_are_bijections():
     for n in (1, 2, 3, 10, 257, 4096):
         for key in (0, -5, 123456789):
