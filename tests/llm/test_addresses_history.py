@@ -133,6 +133,22 @@ def test_edits_of_words_are_learned_from_titles(spark, model):
     assert history.fit_title_edits(told.limit(0)).same == {}
 
 
+def edited_titles(spark, n):
+    rng, rows = random.Random(8), []
+    for i in range(n):
+        title = f"Lessons from a small cache {i} we tuned for {rng.choice(WORDS)}"
+        rows += [title, title.replace("Lessons", "Learnings")] if i % 9 == 0 else [title]
+    return spark.createDataFrame([("s", " ".join(history.title_words(t, "s")), []) for t in rows], "site string, words string, names array<string>")
+
+
+def test_titles_are_counted_in_the_executors(spark, monkeypatch):
+    told, got = edited_titles(spark, 300), []
+    collect = type(told).collect
+    monkeypatch.setattr(type(told), "collect", lambda df: got.extend(rows := collect(df)) or rows)
+    assert history.fit_title_edits(told).same == {"learnings": "lessons"}
+    assert len(got) < 20  # words that were learned, no titles
+
+
 def test_batches_folded_into_a_store_equal_the_pass_over_all(spark, model, tmp_path):
     # "caches" is in one title only until batch 17: 15 repeats 12, and no later batch changes that; 20 repeats 15 only
     late = [(20, 12, "s", "Moving the cached topic to Lopata Lakipa", "https://x/20"), (21, 15, "s", "Moving the caches topic to Lopata Lakipa", "https://x/21"),
