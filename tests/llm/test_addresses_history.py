@@ -149,6 +149,11 @@ def test_titles_are_counted_in_the_executors(spark, monkeypatch):
     assert len(got) < 20  # words that were learned, no titles
 
 
+def test_edits_are_learned_from_all_titles(spark, monkeypatch):
+    monkeypatch.setattr(history, "FIT_KEYS", 100, raising=False)  # once a bound of what was read
+    assert history.fit_title_edits(edited_titles(spark, 300)).same == {"learnings": "lessons"}
+
+
 def test_batches_folded_into_a_store_equal_the_pass_over_all(spark, model, tmp_path):
     # "caches" is in one title only until batch 17: 15 repeats 12, and no later batch changes that; 20 repeats 15 only
     late = [(20, 12, "s", "Moving the cached topic to Lopata Lakipa", "https://x/20"), (21, 15, "s", "Moving the caches topic to Lopata Lakipa", "https://x/21"),
