@@ -4,7 +4,8 @@ A cut text is a near-copy of the beginning of a longer one, so min-hash bands ov
 taken of beginnings: each text offers its beginnings of the lengths of a grid, and a value with an open end
 asks with its own. Verified pairs are aligned by words, and a copy whose alignment ends early, inside a
 sentence, is cut. Records without such a partner are scored by closing-word terminality: a linear model over
-the closing words of the last sentence, fitted on sentences that are cut here, tells whether a text may end there.
+the closing words of the last sentence, fitted on sentences that are cut here, tells whether a text may end there. All
+values of the columns are read for it: words and openings are counted, the weights are fitted by shards and averaged.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiteloom.llm.batches import sampled_texts, slices
+from kiteloom.llm.batches import SUMMANDS, slices, summands, summed
 from kiteloom.plans.runtime import cut_lineage, small_side, spread
 
 #: Words of a shingle, similarity of near-copies, bands and rows per band (hit rate 0.95 at 0.8, 1 for a cut that was not edited).
@@ -33,14 +34,16 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 3, 2
 GRID = [6]
 while GRID[-1] < 20_000:
     GRID.append(GRID[-1] * 3 // 2)
-#: Texts read for fitting, per column, drawn by a hash of their content.
-SAMPLE_ROWS = 4000
+#: An opening of sentences is known if one in so many values has it, a word if more than one in so many have it.
+RARE = 8000
+#: Values that one shard of the fit holds; shards are drawn by a hash of the values.
+SHARD_VALUES = 50_000
 #: Values of a bucket that one salt holds.
 BUCKET_ROWS = 1000
 #: Pairs up to which their longer texts are looked up by broadcast ids (16 bytes each).
 BROADCAST_PAIRS = 500_000
-#: Bins of the hashed closing features.
-BINS = 1 << 17
+#: Bins of the hashed closing features, and features of a stretch of words.
+BINS, FEATURES = 1 << 17, 12
 
 # Signs and words by which sources mark an omission.
 OMISSION = re.compile(
@@ -85,11 +88,11 @@ def light_text(value: str) -> tuple[str, bool]:
 
 def closing_features(words: list[str]) -> list[str]:
     """Features of a stretch of words as the end of a sentence."""
-    shape = [_shape(w, i) for i, w in enumerate(words)]
     n = len(words)
-    pad = ["^", "^", *shape]
+    first = [_shape(w, i > 0) for i, w in enumerate(words[:2])]
+    pad = ["^", "^", *(_shape(words[i], i > 0) for i in range(max(0, n - 3), n))]
     last = words[-1].lower()
-    opener, pair = pad[2], " ".join(pad[2:4])
+    opener, pair = first[0], " ".join(first)
     length = str(min(n, 60))
     return [
         "1" + pad[-1], "2" + " ".join(pad[-2:]), "3" + " ".join(pad[-3:]), "s" + last[-2:], "S" + last[-3:],
@@ -97,12 +100,14 @@ def closing_features(words: list[str]) -> list[str]:
     ]
 
 
-def _shape(word: str, at: int) -> str:
+@lru_cache(1 << 16)
+def _shape(word: str, inside: bool) -> str:
     if any(c.isdigit() for c in word):
         return re.sub(r"\d+", "9", word.lower())
-    return "Xx" if at and word[:1].isupper() and word[1:].islower() and len(word) > 3 and word.isascii() else word.lower()
+    return "Xx" if inside and word[:1].isupper() and word[1:].islower() and len(word) > 3 and word.isascii() else word.lower()
 
 
+@lru_cache(1 << 17)
 def _bin(feature: str) -> int:
     return zlib.crc32(feature.encode("utf-8", "replace")) % BINS
 
@@ -156,6 +161,56 @@ class Tail:
             self.others = frozenset(w.lower() for w in _WORD.findall(bare)[:-1])
 
 
+def stretches(values: list[str]) -> tuple[list[str], list[list[str]]]:
+    """(sentences that are closed, words of short lines that stand alone) of the values."""
+    sentences, lines = [], []
+    for value in values:
+        text, _ = light_text(value)
+        stopped = False
+        for line in text.split("\n"):
+            at = 0
+            for m in _STOP.finditer(line):
+                words = _WORD.findall(line[at: m.end()])
+                if len(words) >= 2 and m[0][0] != "…":
+                    sentences.append(line[at: m.end()].rstrip(".!?。 \"'”’»)*_~`"))
+                at, stopped = m.end(), True
+        if stopped:
+            continue  # such a value is no line that stands alone
+        tail = Tail(value)
+        if tail.verdict is None and tail.alone and len(tail.words) <= 9:
+            lines.append(tail.words)
+    return sentences, lines
+
+
+def opening_counts(sentences: list[str], lines: list[list[str]]) -> tuple[Counter, Counter]:
+    """(how many more sentences than lines open with two words, how many sentences hold a word)."""
+    opening, holding = Counter(), Counter()
+    for s in sentences:
+        words = [w.lower() for w in _WORD.findall(s)]
+        opening[" ".join(words[:2])] += 1
+        holding.update(set(words))
+    opening.subtract(" ".join(words[:2]).lower() for words in lines)
+    return opening, holding
+
+
+def fitted_weights(examples: np.ndarray, seed: int, epochs: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(weights of the bins, how often the examples hold each), by AdaGrad on the logistic loss."""
+    squared, noise, weights = np.full(BINS, 1e-6), np.random.default_rng(seed), np.zeros(BINS)
+    if not len(examples):
+        return weights, np.zeros(BINS)
+    matrix, target, order = examples[:, :-1], examples[:, -1].astype(np.float64), np.arange(len(examples))
+    for _ in range(epochs):
+        noise.shuffle(order)
+        for batch in np.array_split(order, max(1, len(order) // 256)):
+            rows = matrix[batch]
+            error = (1 / (1 + np.exp(-weights[rows].sum(axis=1))) - target[batch]) / len(batch)
+            touched, at = np.unique(rows, return_inverse=True)
+            grad = np.bincount(at.ravel(), np.repeat(error, rows.shape[1]))
+            squared[touched] += grad ** 2
+            weights[touched] -= 0.3 * grad / np.sqrt(squared[touched])
+    return weights, np.bincount(matrix.ravel(), minlength=BINS).astype(np.float64)
+
+
 class TerminalityModel:
     """Linear model of closing features; positive scores mean that the text was cut."""
 
@@ -164,29 +219,16 @@ class TerminalityModel:
         self._stems = self._endings = None  # worked out at the first item
 
     @classmethod
-    def fit(cls, values: list[str], seed: int = 5, epochs: int = 4) -> TerminalityModel:
-        rng = random.Random(seed)
-        sentences, lines = [], []
-        for value in values:
-            text, _ = light_text(value)
-            for line in text.split("\n"):
-                at = 0
-                for m in _STOP.finditer(line):
-                    words = _WORD.findall(line[at: m.end()])
-                    if len(words) >= 2 and m[0][0] != "…":
-                        sentences.append(line[at: m.end()].rstrip(".!?。 \"'”’»)*_~`"))
-                    at = m.end()
-            tail = Tail(value)
-            if tail.verdict is None and tail.alone and len(tail.words) <= 9:
-                lines.append(tail.words)
-        opening = Counter(" ".join(_WORD.findall(s)[:2]).lower() for s in sentences)
-        opening.subtract(" ".join(words[:2]).lower() for words in lines)
-        openers = frozenset(pair for pair, n in opening.items() if n > 0)
-        vocabulary: dict[str, int] = {}
-        for s in sentences:
-            for w in {w.lower() for w in _WORD.findall(s)}:
-                vocabulary[w] = vocabulary.get(w, 0) + 1
-        known = frozenset(w for w, n in vocabulary.items() if n > 1)
+    def fit(cls, values: list[str], seed: int = 5) -> TerminalityModel:
+        sentences, lines = stretches(values)
+        opening, words = opening_counts(sentences, lines)
+        least = max(1, len(values) / RARE)
+        model = cls(np.zeros(BINS, dtype=np.float32), frozenset(o for o, n in opening.items() if n >= least), frozenset(w for w, n in words.items() if n > least))
+        model.weights = fitted_weights(model.examples(sentences, lines, random.Random(seed)), seed)[0].astype(np.float32)
+        return model
+
+    def examples(self, sentences: list[str], lines: list[list[str]], rng: random.Random) -> np.ndarray:
+        """Bins of whole sentences, of the same cut anywhere, and of lines that are no sentence; the last column is the label."""
         examples, labels = [], []
         for s in sentences:
             words = _WORD.findall(s)
@@ -199,32 +241,12 @@ class TerminalityModel:
                     examples.append(cut)
                     labels.append(1)
         for words in lines:
-            if " ".join(words[:2]).lower() not in openers:
+            if " ".join(words[:2]).lower() not in self.openers:
                 examples.append(words)
                 labels.append(0)
-        model = cls(np.zeros(BINS, dtype=np.float32), openers, known)
-        if not examples:
-            return model
-        bins = [model._bins(w, leave_out=not y) for w, y in zip(examples, labels)]
-        width = max(map(len, bins))
-        matrix = np.array([b + [BINS - 1] * (width - len(b)) for b in bins])
-        target, order = np.array(labels, dtype=np.float64), np.arange(len(bins))
-        squared, noise = np.full(BINS, 1e-6), np.random.default_rng(seed)
-        weights = np.zeros(BINS)
-        for _ in range(epochs):  # AdaGrad on the logistic loss
-            noise.shuffle(order)
-            for batch in np.array_split(order, max(1, len(order) // 256)):
-                rows = matrix[batch]
-                error = 1 / (1 + np.exp(-weights[rows].sum(axis=1))) - target[batch]
-                grad = np.zeros(BINS)
-                np.add.at(grad, rows, error[:, None] / len(batch))
-                touched = np.unique(rows)
-                squared[touched] += grad[touched] ** 2
-                weights[touched] -= 0.3 * grad[touched] / np.sqrt(squared[touched])
-        model.weights = weights.astype(np.float32)
-        return model
+        return np.array([[*self._bins(w), y] for w, y in zip(examples, labels)], dtype=np.int32).reshape(-1, FEATURES + 1)
 
-    def _bins(self, words: list[str], leave_out: bool = False) -> list[int]:
+    def _bins(self, words: list[str]) -> list[int]:
         known = words[-1].lower() in self.vocabulary or words[-1].isdigit()
         return [_bin(f) for f in closing_features(words)] + [_bin("known" if known else "unknown"), _bin("bias")]
 
@@ -457,12 +479,43 @@ def offered_beginnings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
             yield pd.DataFrame({"key": key, "piece": piece, "part": parts[part][row], "rec_id": ids[part][row]})
 
 
+def counted_openings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(opens, item, n): `opening_counts` of the column `value`."""
+    for batch in batches:
+        for opens, counts in zip((True, False), opening_counts(*stretches(batch["value"].tolist()))):
+            yield pd.DataFrame({"opens": opens, "item": pd.Series(list(counts), dtype="object"), "n": np.fromiter(counts.values(), np.int64, len(counts))})
+
+
+def fitted_shard(openers: frozenset, vocabulary: frozenset, seed: int = 5):
+    """SUMMANDS of a shard's weights, each times how often it was met, and of how often."""
+    model = TerminalityModel(np.zeros(BINS, dtype=np.float32), openers, vocabulary)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rng = random.Random(seed)
+        parts = [e for b in batches if len(e := model.examples(*stretches(b["value"].tolist()), rng))]
+        if parts:
+            weights, met = fitted_weights(np.concatenate(parts), seed)
+            yield summands(np.concatenate((weights * met, met)))
+
+    return run
+
+
 def fit_terminality(columns: list[tuple[DataFrame, str]]) -> TerminalityModel:
-    """Fits on at most SAMPLE_ROWS values of each column."""
-    values: list[str] = []
-    for df, name in columns:
-        values += sampled_texts(df, name, SAMPLE_ROWS, F.trim(F.col(name)) != "")
-    return TerminalityModel.fit(values)
+    """Fits on all values of the columns that are not blank.
+
+    Each shard fits weights of its own; a bin's weight is their mean by how often the shards met it. The shards and
+    their order follow from a hash of the values, not from files and partitions. The driver gets what is known and one array.
+    """
+    values = reduce(DataFrame.unionByName, [df.select(F.col(name).alias("value")).filter(F.trim("value") != "") for df, name in columns])
+    total = values.count()
+    least = max(1, total / RARE)
+    counts = spread(values).mapInPandas(counted_openings, "opens boolean, item string, n long").groupBy("opens", "item").agg(F.sum("n").alias("n"))
+    known = counts.filter(F.when(F.col("opens"), F.col("n") >= least).otherwise(F.col("n") > least)).select("opens", "item").collect()
+    openers, vocabulary = frozenset(r[1] for r in known if r[0]), frozenset(r[1] for r in known if not r[0])
+    place = F.xxhash64("value")
+    shards = values.repartition(-(-total // SHARD_VALUES) or 1, place).sortWithinPartitions(place)
+    sums = summed(shards.mapInPandas(fitted_shard(openers, vocabulary), SUMMANDS), 2 * BINS)
+    return TerminalityModel((sums[:BINS] / np.maximum(sums[BINS:], 1)).astype(np.float32), openers, vocabulary)
 
 
 def _values(parts: list[tuple[str, DataFrame, str, str]]) -> DataFrame:

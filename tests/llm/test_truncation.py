@@ -56,6 +56,22 @@ def test_terminality_on_held_out_sentences(model):
     assert right / n > 0.93
 
 
+def test_terminality_is_fitted_on_all_values(spark, monkeypatch):
+    monkeypatch.setattr(truncation, "SAMPLE_ROWS", 5, raising=False)  # once a bound of what was read
+    monkeypatch.setattr(truncation, "SHARD_VALUES", 400, raising=False)
+    rng = random.Random(1)
+    rows = [" ".join(sentence(rng) for _ in range(3)) for _ in range(1200)] + ["The vestige was moved twice."] * 2 + ["Notes on the queue"] * 20
+    df = spark.createDataFrame([(t,) for t in rows], "subtitle string")
+    fitted = truncation.fit_terminality([(df.limit(0), "subtitle"), (df, "subtitle")])
+    assert not truncation.fit_terminality([(df.limit(0).union(spark.createDataFrame([("...",)], df.schema)), "subtitle")]).weights.any()
+    assert {"vestige", *NOUNS, *VERBS} <= fitted.vocabulary and "the vestige" in fitted.openers and "notes on" not in fitted.openers
+    right = 0
+    for _ in range(300):
+        s = sentence(rng)
+        right += fitted.cut(Tail(s[: rng.randint(12, len(s) - 12)])) + (not fitted.cut(Tail(s.rstrip("."))))
+    assert right / 600 > 0.93
+
+
 def test_alignment_decides():
     long = "Alpha beta gamma delta epsilon zeta. Eta theta iota kappa lambda mu."
     assert aligned_end("Alpha beta gamma delta epsilon zeta. Eta theta iota kap", long) == "cut"
