@@ -4,20 +4,24 @@ Character n-gram models of filler, notices and natural prose give each n-gram of
 ratio. Windows of positive mean ratio localise residue; a text of which such windows cover most is residue as
 a whole. Placeholders left where a value belonged are localised by windows of the same kind: one model is
 fitted on prose in which words were replaced by placeholders, the other on what stands around brackets and
-the like in natural prose, which holds texts that write about placeholders too.
+the like in natural prose, which holds texts that write about placeholders too. All texts of the columns are read
+for the models: their n-grams are counted in the executors.
 """
 
 from __future__ import annotations
 
 import random
 import re
+import zlib
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiteloom.llm.batches import sampled_texts, slices
+from kiteloom.llm.batches import SUMMANDS, slices, summands, summed
 from kiteloom.plans.runtime import spread
 
 #: Characters of an n-gram, of a window, and bins of the hashed n-grams.
@@ -26,8 +30,8 @@ N, WINDOW, BINS = 5, 24, 1 << 18
 COVERAGE = 0.55
 #: Mean log ratio from which a window is residue.
 RATIO = 0.4
-#: Texts of natural prose read for fitting, per column.
-SAMPLE_ROWS = 2000
+#: Texts that natural prose with signs of placeholders weighs at most, beside the made examples, however many are read.
+WEIGHT = 4000
 
 # Words of the customary filler text.
 LOREM = (
@@ -151,10 +155,21 @@ def residue_examples(seed: int = 7) -> tuple[list[str], list[str]]:
     return filler, notices
 
 
-def _frequencies(texts: list[str]) -> np.ndarray:
-    bins, _ = ngram_bins(texts or [""])
-    counts = np.bincount(bins, minlength=BINS).astype(np.float64)
-    return counts / counts.sum()
+def gram_counts(texts: list[str]) -> np.ndarray:
+    """How often the texts hold each bin; what follows a text's end counts as newlines, so the counts of parts add up."""
+    if not texts:
+        return np.zeros(BINS)
+    bins, starts = ngram_bins(texts)
+    ends = np.append(starts[1:], len(bins))
+    within = np.ones(len(bins), dtype=bool)
+    within[(ends[:, None] - np.arange(1, N + 1)).ravel()] = False
+    counts = np.bincount(bins[within], minlength=BINS).astype(np.float64)
+    counts[bins[-1]] += N * len(texts)  # the last n-gram holds newlines only
+    return counts
+
+
+def _frequencies(counts: np.ndarray) -> np.ndarray:
+    return counts / max(counts.sum(), 1)
 
 
 class ResidueModel:
@@ -164,18 +179,21 @@ class ResidueModel:
         self.ratios = ratios
 
     @classmethod
-    def fit(cls, prose: list[str]) -> ResidueModel:
-        filler, notices = residue_examples()
+    def of_counts(cls, natural: np.ndarray) -> ResidueModel:
+        """From the `gram_counts` of natural prose."""
         floor = 2e-6  # an n-gram that none of the models knows says nothing
+        base = _frequencies(natural) + floor
+        ratios = np.stack([np.log((_frequencies(gram_counts(made)) + floor) / base) for made in residue_examples()])
+        return cls(np.clip(ratios, -4, 4).astype(np.float32))
+
+    @classmethod
+    def fit(cls, prose: list[str]) -> ResidueModel:
         natural = [simplified(t) for t in prose]
-        model = None
-        for _ in range(2):  # the sample holds some residue itself: fit, drop what is residue, fit again
-            base = _frequencies(natural) + floor
-            ratios = np.stack([np.log((_frequencies(made) + floor) / base) for made in (filler, notices)])
-            model = cls(np.clip(ratios, -4, 4).astype(np.float32))
-            keep = model.coverage(natural) < COVERAGE
-            natural = [t for t, k in zip(natural, keep) if k]
-        return model
+        return cls.of_counts(gram_counts(cls.of_counts(gram_counts(natural)).prose(natural)))
+
+    def prose(self, texts: list[str]) -> list[str]:
+        """The (simplified) texts that are no residue: a table holds some itself, so the model is fitted again without."""
+        return [t for t, c in zip(texts, self.coverage(texts)) if c < COVERAGE]
 
     def coverage(self, texts: list[str]) -> np.ndarray:
         """Share of each (simplified) text that lies in windows of residue."""
@@ -204,9 +222,13 @@ class ResidueModel:
 
 # ---------------------------------------------------------------- placeholders
 
+def untagged(text: str) -> str:
+    return re.sub(r"</?[a-zA-Z!][^<>%]*>", " ", text) if "<" in text else text
+
+
 def field_text(text: str) -> str:
     """Lower case with a sign before words in capitals, tags gone, digits as one sign, blanks as one; what marks a field is kept."""
-    text = re.sub(r"</?[a-zA-Z!][^<>%]*>", " ", text) if "<" in text else text
+    text = untagged(text)
     text = re.sub(r"(?<![A-Za-z_])(_*)([A-Z]{2}[A-Z_]*)", r"\1^\2", text)
     return re.sub(r"\s+", " ", re.sub(r"\d+", "0", text.lower())).strip()
 
@@ -232,6 +254,12 @@ def template_examples(prose: list[str], seed: int = 11) -> list[str]:
     return [field_text(t) for t in out]
 
 
+def template_lines(seed: int = 11) -> list[str]:
+    """The templates among TEMPLATES examples that are lines of fields only."""
+    rng = random.Random(seed)
+    return [field_text(rng.choice(FIELD_LINES).format(p=_field(rng), q=_field(rng))) for _ in range(TEMPLATES // 6)]
+
+
 def mention_examples(prose: list[str], seed: int = 12) -> list[str]:
     """Labelled prose about placeholders, and stretches of prose with markup in place of words."""
     rng = random.Random(seed)
@@ -251,37 +279,49 @@ def _around_openings(texts: list[str], starts: np.ndarray, size: int) -> np.ndar
     for start, text in zip(starts, texts):
         for m in OPENING.finditer(text):
             edge[max(start, start + m.start() - BEFORE)] += 1
-            edge[min(size, start + m.end() + AFTER)] -= 1
+            edge[min(start + len(text), start + m.end() + AFTER)] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
+def field_counts(texts: list[str]) -> np.ndarray:
+    """How often the windows of opening signs hold each bin, by the lengths of GRAMS."""
+    counts = np.zeros((len(GRAMS), BINS))
+    for k, n in enumerate(GRAMS if texts else ()):
+        bins, starts = ngram_bins(texts, n)
+        counts[k] = np.bincount(bins[_around_openings(texts, starts, len(bins))], minlength=BINS)
+    return counts
+
+
 class FieldModel:
     """Log ratios of n-gram bins around opening signs: templates against prose."""
 
     def __init__(self, ratios: np.ndarray):
         self.ratios = ratios
 
+    @classmethod
+    def of_counts(cls, templates: np.ndarray, mentions: np.ndarray) -> FieldModel:
+        """From the `field_counts` of templates and of prose."""
+        shares = [own / own.sum(axis=1, keepdims=True) + 2e-5 for own in (templates, mentions)]
+        return cls(np.clip(np.log(shares[0] / shares[1]), -3, 3).astype(np.float32))
+
     @classmethod
     def fit(cls, prose: list[str]) -> FieldModel:
         natural = [field_text(t) for t in prose]
         plain = [t for t in natural if not OPENING.search(t)]
-        templates, mentions = template_examples(plain), mention_examples(plain)
         marked = [t for t in natural if OPENING.search(t)]
-        model, kept = None, []
-        for _ in range(3):  # the sample holds templates itself: fit on made texts, then add what is no template
-            tables = []
-            for n in GRAMS:
-                counts = []
-                for texts in (templates, [*mentions, *kept]):
-                    bins, starts = ngram_bins(texts, n)
-                    near = _around_openings(texts, starts, len(bins))
-                    own = np.bincount(bins[near], minlength=BINS).astype(np.float64)
-                    counts.append(own / own.sum() + 2e-5)
-                tables.append(np.clip(np.log(counts[0] / counts[1]), -3, 3))
-            model = cls(np.stack(tables).astype(np.float32))
-            kept = [t for t, k in zip(marked, model.placeholders(marked)) if not k]
+        return cls.refined(field_counts(template_examples(plain)), field_counts(mention_examples(plain)), lambda model: field_counts(model.prose(marked)))
+
+    @classmethod
+    def refined(cls, templates: np.ndarray, mentions: np.ndarray, kept: Callable[[FieldModel], np.ndarray]) -> FieldModel:
+        """Fitted on made texts, then with what is no template of the tables, which hold templates themselves; `kept` counts it."""
+        model = cls.of_counts(templates, mentions)
+        for _ in range(2):
+            model = cls.of_counts(templates, mentions + kept(model))
         return model
 
+    def prose(self, texts: list[str]) -> list[str]:
+        return [t for t, k in zip(texts, self.placeholders(texts)) if not k]
+
     def placeholders(self, texts: list[str]) -> np.ndarray:
         """Placeholders left in each text (as of `field_text`): opening signs whose window is likelier in a template, side by side ones once."""
         found = np.zeros(len(texts), dtype=np.int64)
@@ -321,12 +361,72 @@ def residue_batch(ratios: np.ndarray, field_ratios: np.ndarray):
 RESIDUE = "struct<coverage:double,n_placeholders:int>"
 
 
+def made_from(text: str, repeats: int) -> tuple[list[str], list[str]]:
+    """(templates, markup) made from one text without tags, of the kinds of `template_examples` and `mention_examples`."""
+    words, rng = text.split(), random.Random(zlib.crc32(text.encode("utf-8", "replace")))
+    templates, markup = [], []
+    for _ in range(repeats if len(words) >= 4 else 0):
+        at = rng.randrange(len(words))
+        before, after = words[max(0, at - 5): at], words[at + 1: at + 6]
+        if rng.random() < 0.8:
+            templates.append(" ".join([*before, _field(rng), *after]))
+        else:
+            templates.append(rng.choice(FIELD_LINES).format(p=_field(rng), q=_field(rng)) + " " + " ".join(words[:6]))
+        form = rng.choice(BRACKETED).format(w=words[at].strip("[]{}()"), v=rng.choice(words).strip("[]{}()"))
+        markup.append(" ".join([*before, form, *after]))
+    return [field_text(t) for t in templates], [field_text(t) for t in markup]
+
+
+def _summed_texts(values: DataFrame, count: Callable[[list[str]], np.ndarray], size: int) -> np.ndarray:
+    """The sum of `count` over bounded parts of the texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(size)
+        for batch in batches:
+            texts = batch["value"].tolist()
+            for part in slices(texts):
+                sums += count(texts[part])
+        yield summands(sums)
+
+    return summed(values.mapInPandas(run, SUMMANDS), size)
+
+
 def fit_residue_models(columns: list[tuple[DataFrame, str]]) -> tuple[ResidueModel, FieldModel]:
-    """Fits the prose models on at most SAMPLE_ROWS texts of each column."""
-    texts: list[str] = []
-    for df, name in columns:
-        texts += sampled_texts(df, name, SAMPLE_ROWS, F.length(F.trim(F.col(name))) >= N)
-    return ResidueModel.fit(texts), FieldModel.fit(texts)
+    """Fits the models on all texts of the columns.
+
+    The first pass counts the n-grams of all prose and of the examples that are made from it, the others those of
+    what the models so far hold for prose. Each text makes examples by a hash of its content, and all counts are whole
+    numbers, so files and partitions change nothing. The driver gets sums only.
+    """
+    texts = reduce(DataFrame.unionByName, [df.select(F.col(name).alias("value")).filter(F.length(F.trim("value")) >= N) for df, name in columns])
+    total = texts.count()
+    if not total:
+        return ResidueModel.fit([]), FieldModel.fit([])
+    texts, repeats, both = spread(texts), -(-TEMPLATES // total), len(GRAMS) * BINS
+
+    def first(values: list[str]) -> np.ndarray:
+        made = [made_from(t, repeats) for t in map(untagged, values) if not OPENING.search(t)]
+        templates, markup = ([t for m in made for t in m[k]] for k in (0, 1))
+        return np.concatenate((gram_counts([simplified(t) for t in values]), field_counts(templates).ravel(), field_counts(markup).ravel(), [len(markup)]))
+
+    sums = _summed_texts(texts, first, BINS + 2 * both + 1)
+    # as many made examples as without a table, and the fixed ones beside them
+    lines, fixed = field_counts(template_lines()), field_counts(mention_examples([]))
+    share = TEMPLATES / max(sums[-1], 1)
+    templates = sums[BINS: BINS + both].reshape(-1, BINS) * share * 5 / 6 + lines if sums[-1] else field_counts(template_examples([]))
+    mentions = sums[BINS + both: -1].reshape(-1, BINS) * share + fixed
+
+    base = ResidueModel.of_counts(sums[:BINS])
+    model = ResidueModel.of_counts(_summed_texts(texts, lambda values: gram_counts(base.prose([simplified(t) for t in values])), BINS))
+    marked = texts.filter(F.col("value").rlike(OPENING.pattern))
+
+    def kept(fields: FieldModel) -> np.ndarray:
+        def count(values: list[str]) -> np.ndarray:
+            return field_counts(fields.prose([t for t in map(field_text, values) if OPENING.search(t)])).ravel()
+
+        return _summed_texts(marked, count, both).reshape(-1, BINS) * min(1, WEIGHT / total)
+
+    return model, FieldModel.refined(templates, mentions, kept)
 
 
 def scored_residue(parts: list[tuple[str, DataFrame, str, str]], models: tuple[ResidueModel, FieldModel] | None = None) -> DataFrame:

@@ -63,6 +63,18 @@ def test_messy_residue_tables(spark, model, fields):
     assert residue.scored_residue([("articles", df.limit(0), "seq", "body")]).count() == 0
 
 
+def test_residue_models_are_fitted_on_all_texts(spark, monkeypatch):
+    from kiteloom.llm.residue import mention_examples, template_examples
+
+    monkeypatch.setattr(residue, "SAMPLE_ROWS", 5, raising=False)  # once a bound of what was read
+    rows = [f"{t} {chr(97 + i % 26) * (i // 26 + 1)}" for i in range(40) for t in PROSE] + RESIDUE + ["by {{ author }} today", "", None]
+    model, fields = residue.fit_residue_models([(spark.createDataFrame([(t,) for t in rows], "body string").repartition(3), "body")])
+    assert np.array_equal(model.ratios, ResidueModel.fit([t for t in rows if t]).ratios)
+    prose = [field_text(t) for t in PROSE]
+    templates, others = template_examples(prose, seed=501)[:600], mention_examples(prose, seed=502)[::20]
+    assert (fields.placeholders(templates) > 0).mean() > 0.9 and (fields.placeholders(others) > 0).mean() < 0.03
+
+
 def made(rng, level):
     easy, hard = "cat dog sun box run see big red cup map".split(), "notwithstanding heterogeneous parameterization amortization consequently epistemological".split()
     words = [rng.choice(hard if rng.random() < (level - 1) / 3.2 else easy) for _ in range(80)]
