@@ -15,9 +15,11 @@ import html
 import random
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -56,13 +58,38 @@ _OPEN_REFERENCE = re.compile(r"&(?:#?\w{1,7})?$")
 _OPEN_LINK = re.compile(r"\]\([^()\s]*$|\[\[[^\]\n]*$")
 _CLOSABLE = ("p", "li", "ul", "ol", "pre", "code", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "table", "a", "b", "strong", "em", "i", "span", "td", "figure")
 _UNCLOSED = re.compile(rf"<(/?)({'|'.join(_CLOSABLE)})\b[^<>]*?(/?)>", re.IGNORECASE)
-_STOP = re.compile(r"[.!?。！？…][\"'”’»)\]*_~`]*(?=\s|$)|[.!?。]+(?=[^\w\s]*$)")
-_ENDED = re.compile(r"[.!?。！？][\"'”’»)\]*_~`]*\s*$")
+# the first sign stands before the alternatives, so that the search passes over all else
+_STOP = re.compile(r"[.!?。！？…](?:[\"'”’»)\]*_~`]*(?=\s|$)|(?<=[.!?。])[.!?。]*(?=[^\w\s]*$))")
+_ENDS, _CLOSERS = (".", "!", "?", "。", "！", "？"), "\"'”’»)]*_~`"
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
+_ASCII_WORD = re.compile(r"[A-Za-z0-9]+(?:'[A-Za-z0-9]+)?")
+# what OMISSION may end with
+_OMITTING, _OMITTED = re.compile(r"(?:more|reading|lesen|más|leyendo|보기|읽기)\Z", re.IGNORECASE), ("…", "...", ";", "]", ")")
 _ORNAMENT = re.compile(r"(?:\s*(?:\(\d+/\d+\)|[:;]-?[)D(P]|[\U0001F300-\U0001FAFF☀-➿]))+\s*$")
 _LISTED = re.compile(r"^\s*(?:[-*+#]{1,4}\s|\d{1,3}[.)]\s|\\item\b|\||#{1,6}\s|={2,}|>|```|\\(?:sub)*section|\\end|\\begin)")
 
 
+def find_words(text: str) -> list[str]:
+    return (_ASCII_WORD if text.isascii() else _WORD).findall(text)
+
+
+def lower_words(text: str) -> list[str]:
+    return _ASCII_WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in _WORD.findall(text)]
+
+
+def without_omission(text: str) -> str:
+    """`text`, which ends with no space, without OMISSION; searched only where the end may be one."""
+    if text.endswith(_OMITTED) or _OMITTING.search(text.rstrip(".…>»").rstrip()[-8:]):
+        return OMISSION.sub("", text)
+    return text
+
+
+def without_ornament(text: str) -> str:
+    """`text`, which ends with no space, without _ORNAMENT; searched only where the end may be one."""
+    end = text[-1:]
+    return _ORNAMENT.sub("", text) if end in ")D(P" or "☀" <= end <= "➿" or "\U0001F300" <= end <= "\U0001FAFF" else text
+
+
 def light_text(value: str) -> tuple[str, bool]:
     """(text without tags and references, whether it ends inside a tag or with an element left open)."""
     text = value
@@ -86,20 +113,6 @@ def light_text(value: str) -> tuple[str, bool]:
     return _TAG.sub(lambda m: "" if re.match(r"</?(?:a|b|i|em|strong|code|span|u|s|mark|small|sub|sup)\b", m[0], re.I) else "\n", text), broken or bool(opened)
 
 
-def closing_features(words: list[str]) -> list[str]:
-    """Features of a stretch of words as the end of a sentence."""
-    n = len(words)
-    first = [_shape(w, i > 0) for i, w in enumerate(words[:2])]
-    pad = ["^", "^", *(_shape(words[i], i > 0) for i in range(max(0, n - 3), n))]
-    last = words[-1].lower()
-    opener, pair = first[0], " ".join(first)
-    length = str(min(n, 60))
-    return [
-        "1" + pad[-1], "2" + " ".join(pad[-2:]), "3" + " ".join(pad[-3:]), "s" + last[-2:], "S" + last[-3:],
-        "o" + opener + "|" + length, "p" + pair + "|" + length, "c" + pair + "|" + pad[-1], "C" + pair + "|" + " ".join(pad[-2:]), "n" + length,
-    ]
-
-
 @lru_cache(1 << 16)
 def _shape(word: str, inside: bool) -> str:
     if any(c.isdigit() for c in word):
@@ -107,9 +120,35 @@ def _shape(word: str, inside: bool) -> str:
     return "Xx" if inside and word[:1].isupper() and word[1:].islower() and len(word) > 3 and word.isascii() else word.lower()
 
 
-@lru_cache(1 << 17)
+def _checked(text: str, start: int = 0) -> int:
+    return zlib.crc32(text.encode("utf-8", "replace"), start)
+
+
 def _bin(feature: str) -> int:
-    return zlib.crc32(feature.encode("utf-8", "replace")) % BINS
+    return _checked(feature) % BINS
+
+
+_KNOWN, _UNKNOWN, _BIAS = _bin("known"), _bin("unknown"), _bin("bias")
+
+
+@lru_cache(1 << 16)
+def _opening(opener: str, pair: str, length: int) -> tuple[int, int, int, int, int]:
+    """(bins of an opening with the length, bin of the length, check values that the features of both ends go on from)."""
+    return _bin(f"o{opener}|{length}"), _bin(f"p{pair}|{length}"), _bin(f"n{length}"), _checked(f"c{pair}|"), _checked(f"C{pair}|")
+
+
+@lru_cache(1 << 16)
+def _closing(third: str, second: str, last: str) -> tuple[int, int, int, bytes, bytes]:
+    """(bins of the last word, the last two, the last three, text of the first two)."""
+    two = f"{second} {last}"
+    return _bin("1" + last), _bin("2" + two), _bin(f"3{third} {two}"), last.encode("utf-8", "replace"), two.encode("utf-8", "replace")
+
+
+@lru_cache(1 << 16)
+def _suffixes(word: str) -> tuple[str, int, int]:
+    """(word in lower case, bins of its last two and three letters)."""
+    low = word.lower()
+    return low, _bin("s" + low[-2:]), _bin("S" + low[-3:])
 
 
 class Tail:
@@ -128,16 +167,16 @@ class Tail:
         text = text.rstrip()
         if not text.strip():
             return
-        stripped = OMISSION.sub("", text)
+        stripped = without_omission(text)
         omitted = stripped != text
-        if omitted or not _ENDED.search(text):
-            self.copied = [w.lower() for w in _WORD.findall(stripped)]
-        bare = (stripped if omitted else _ORNAMENT.sub("", text)).rstrip()
+        if omitted or not text.rstrip(_CLOSERS).endswith(_ENDS):
+            self.copied = lower_words(stripped)
+        bare = (stripped if omitted else without_ornament(text)).rstrip()
         ornament = not omitted and bare != text
         last_line = bare.rsplit("\n", 1)[-1]
         stops = [m.end() for m in _STOP.finditer(last_line)]
         fragment = last_line[stops[-1]:] if stops else last_line
-        self.words = _WORD.findall(fragment)
+        self.words = find_words(fragment)
         if not self.words:
             # the omission follows a whole sentence, or nothing is left open
             self.verdict = False
@@ -147,22 +186,22 @@ class Tail:
         self.verdict = None
         if omitted or opened:
             self.verdict = True
-        elif ornament or re.search(r"https?://\S+$", last_line) or re.search(r"(?:>|&gt;)\s*$", value):
+        elif ornament or re.search(r"https?://\S+$", last_line) or value.rstrip().endswith((">", "&gt;")):
             self.verdict = False  # an ornament, an address or a closed element ends the value
-        elif re.search(r"[,(\[{«“‘–—-]$", bare) and not code:
+        elif bare[-1] in ",([{«“‘–—-" and not code:
             self.verdict = True
-        elif not re.search(r"\w$", bare):
+        elif not re.match(r"\w", bare[-1]):
             self.verdict = False
         self.listed = bool(_LISTED.match(last_line))
         if self.verdict is not None:
             return
         self.alone = not self.listed and "\n" not in bare.strip() and not stops
         if self.listed:
-            self.others = frozenset(w.lower() for w in _WORD.findall(bare)[:-1])
+            self.others = frozenset(w.lower() for w in find_words(bare)[:-1])
 
 
-def stretches(values: list[str]) -> tuple[list[str], list[list[str]]]:
-    """(sentences that are closed, words of short lines that stand alone) of the values."""
+def stretches(values: list[str]) -> tuple[list[tuple[str, list[str]]], list[list[str]]]:
+    """(sentences that are closed and their words, words of short lines that stand alone) of the values."""
     sentences, lines = [], []
     for value in values:
         text, _ = light_text(value)
@@ -170,10 +209,12 @@ def stretches(values: list[str]) -> tuple[list[str], list[list[str]]]:
         for line in text.split("\n"):
             at = 0
             for m in _STOP.finditer(line):
-                words = _WORD.findall(line[at: m.end()])
-                if len(words) >= 2 and m[0][0] != "…":
-                    sentences.append(line[at: m.end()].rstrip(".!?。 \"'”’»)*_~`"))
-                at, stopped = m.end(), True
+                begin, end = m.span()
+                sentence = line[at:end]
+                words = find_words(sentence)
+                if len(words) >= 2 and line[begin] != "…":
+                    sentences.append((sentence.rstrip(".!?。 \"'”’»)*_~`"), words))  # what is taken off is no word
+                at, stopped = end, True
         if stopped:
             continue  # such a value is no line that stands alone
         tail = Tail(value)
@@ -182,15 +223,11 @@ def stretches(values: list[str]) -> tuple[list[str], list[list[str]]]:
     return sentences, lines
 
 
-def opening_counts(sentences: list[str], lines: list[list[str]]) -> tuple[Counter, Counter]:
+def opening_counts(sentences: list[tuple[str, list[str]]], lines: list[list[str]]) -> tuple[Counter, Counter]:
     """(how many more sentences than lines open with two words, how many sentences hold a word)."""
-    opening, holding = Counter(), Counter()
-    for s in sentences:
-        words = [w.lower() for w in _WORD.findall(s)]
-        opening[" ".join(words[:2])] += 1
-        holding.update(set(words))
+    opening = Counter(" ".join(map(str.lower, words[:2])) for _, words in sentences)
     opening.subtract(" ".join(words[:2]).lower() for words in lines)
-    return opening, holding
+    return opening, Counter(chain.from_iterable(set(map(str.lower, words)) for _, words in sentences))
 
 
 def fitted_weights(examples: np.ndarray, seed: int, epochs: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -199,13 +236,17 @@ def fitted_weights(examples: np.ndarray, seed: int, epochs: int = 4) -> tuple[np
     if not len(examples):
         return weights, np.zeros(BINS)
     matrix, target, order = examples[:, :-1], examples[:, -1].astype(np.float64), np.arange(len(examples))
+    place, number = np.zeros(BINS, np.int64), np.arange(512 * matrix.shape[1])
     for _ in range(epochs):
         noise.shuffle(order)
         for batch in np.array_split(order, max(1, len(order) // 256)):
-            rows = matrix[batch]
+            rows = matrix[batch].astype(np.int64)
             error = (1 / (1 + np.exp(-weights[rows].sum(axis=1))) - target[batch]) / len(batch)
-            touched, at = np.unique(rows, return_inverse=True)
-            grad = np.bincount(at.ravel(), np.repeat(error, rows.shape[1]))
+            bins = rows.ravel()
+            place[bins] = number[: len(bins)]  # one occurrence of each bin stays, which needs no sort
+            touched = bins[place[bins] == number[: len(bins)]]
+            place[touched] = number[: len(touched)]
+            grad = np.bincount(place[bins], np.repeat(error, rows.shape[1]))
             squared[touched] += grad ** 2
             weights[touched] -= 0.3 * grad / np.sqrt(squared[touched])
     return weights, np.bincount(matrix.ravel(), minlength=BINS).astype(np.float64)
@@ -227,28 +268,43 @@ class TerminalityModel:
         model.weights = fitted_weights(model.examples(sentences, lines, random.Random(seed)), seed)[0].astype(np.float32)
         return model
 
-    def examples(self, sentences: list[str], lines: list[list[str]], rng: random.Random) -> np.ndarray:
+    def examples(self, sentences: list[tuple[str, list[str]]], lines: list[list[str]], rng: random.Random) -> np.ndarray:
         """Bins of whole sentences, of the same cut anywhere, and of lines that are no sentence; the last column is the label."""
-        examples, labels = [], []
-        for s in sentences:
-            words = _WORD.findall(s)
-            examples.append(words)
-            labels.append(0)
+        flat = array("i")
+        for s, words in sentences:
+            flat.extend(self._bins(words))
+            flat.append(0)
             if len(s) > 12:
-                at = rng.randint(6, len(s) - 1) if rng.random() < 0.6 else rng.choice([m.end() for m in _WORD.finditer(s)][:-1] or [len(s) - 1])
-                cut = _WORD.findall(s[:at])
+                cut = find_words(s[: rng.randint(6, len(s) - 1)]) if rng.random() < 0.6 else words[: rng.randrange(len(words) - 1) + 1]
                 if cut and cut != words:
-                    examples.append(cut)
-                    labels.append(1)
+                    flat.extend(self._bins(cut))
+                    flat.append(1)
         for words in lines:
             if " ".join(words[:2]).lower() not in self.openers:
-                examples.append(words)
-                labels.append(0)
-        return np.array([[*self._bins(w), y] for w, y in zip(examples, labels)], dtype=np.int32).reshape(-1, FEATURES + 1)
-
-    def _bins(self, words: list[str]) -> list[int]:
-        known = words[-1].lower() in self.vocabulary or words[-1].isdigit()
-        return [_bin(f) for f in closing_features(words)] + [_bin("known" if known else "unknown"), _bin("bias")]
+                flat.extend(self._bins(words))
+                flat.append(0)
+        return np.array(flat, dtype=np.int32).reshape(-1, FEATURES + 1)
+
+    def _bins(self, words: list[str]) -> tuple[int, ...]:
+        """Bins of the features of a stretch of words as the end of a sentence; digits and names count by their shape.
+
+        They are the last word, two and three, the last word's last two and three letters, the first word and two each
+        with the length, the first two with the last word and two, the length, whether the last word is known, and a bias.
+        """
+        n = len(words)
+        opener, last, second, third = _shape(words[0], False), _shape(words[-1], n > 1), "^", "^"
+        pair = opener
+        if n > 1:
+            pair, second = f"{opener} {_shape(words[1], True)}", _shape(words[-2], n > 2)
+            if n > 2:
+                third = _shape(words[-3], n > 3)
+        first_length, pair_length, length, pair_last, pair_two = _opening(opener, pair, min(n, 60))
+        one, two, three, last_text, two_text = _closing(third, second, last)
+        low, letters, more_letters = _suffixes(words[-1])
+        return (
+            one, two, three, letters, more_letters, first_length, pair_length, zlib.crc32(last_text, pair_last) % BINS, zlib.crc32(two_text, pair_two) % BINS,
+            length, _KNOWN if low in self.vocabulary or words[-1].isdigit() else _UNKNOWN, _BIAS,
+        )
 
     def _breaks_off(self, word: str, others: frozenset) -> bool:
         """Whether an unknown word begins a longer one, of the vocabulary or of the same value, or ends like no known word."""
@@ -268,7 +324,7 @@ class TerminalityModel:
         pair = " ".join(tail.words[:2]).lower()
         if tail.alone and len(tail.words) <= 9 and pair not in self.openers and (tail.words[-1].lower() in self.vocabulary or tail.words[-1][:1].isupper()):
             return False  # a heading: no sentence opens like this
-        return float(self.weights[self._bins(tail.words)].sum()) > 0
+        return float(self.weights[list(self._bins(tail.words))].sum()) > 0
 
 
 # ---------------------------------------------------------------- near-copies
@@ -278,7 +334,7 @@ _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def copy_words(value: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(light_text(value)[0])]
+    return lower_words(light_text(value)[0])
 
 
 def grid_steps(n_words: int) -> int:

@@ -1,6 +1,8 @@
 """Problem 4: cut and complete endings, aligned copies, near-copies against brute force."""
 
 import random
+import time
+import zlib
 
 import numpy as np
 import pytest
@@ -72,6 +74,31 @@ def test_terminality_is_fitted_on_all_values(spark, monkeypatch):
     assert right / 600 > 0.93
 
 
+def test_an_ending_is_judged_without_a_search_from_every_place():
+    text = "Notes" + " " * 20_000 + "on the queue"
+    began = time.process_time()
+    assert Tail(text).words == ["Notes", "on", "the", "queue"]
+    assert time.process_time() - began < 0.5
+
+
+def test_endings_that_may_be_marks_are_searched():
+    rng = random.Random(7)
+    marks = ["read more", "Continue Reading", "leer MÁS", "readıng", "weiterleſen", "더 보기", "계속 읽기", "more", "[…]", "(mehr)", "...", "…", "&hellip;", ".", "»", ">", " ", " ", "–", "(1/2)", ":)", ";-P", ":D", "🚀", "☀", "➿", "word", "P"]
+    for _ in range(3000):
+        text = "".join(rng.choice(marks) for _ in range(rng.randint(1, 6))).rstrip()
+        assert truncation.without_omission(text) == truncation.OMISSION.sub("", text)
+        assert truncation.without_ornament(text) == truncation._ORNAMENT.sub("", text)
+
+
+@pytest.mark.parametrize("words", [["Queue"], ["The", "Parser"], ["In", "2024", "Über"], ["In", "spring", "we", "tuned", "v2"], ["The"] * 70 + ["don’t"]])
+def test_bins_are_check_values_of_the_features(model, words):
+    shapes = [truncation._shape(w, i > 0) for i, w in enumerate(words)]
+    pair, (a, b, c), n, low = " ".join(shapes[:2]), ["^", "^", *shapes][-3:], min(len(words), 60), words[-1].lower()
+    known = "known" if low in model.vocabulary or low.isdigit() else "unknown"
+    features = ["1" + c, f"2{b} {c}", f"3{a} {b} {c}", "s" + low[-2:], "S" + low[-3:], f"o{shapes[0]}|{n}", f"p{pair}|{n}", f"c{pair}|{c}", f"C{pair}|{b} {c}", f"n{n}", known, "bias"]
+    assert list(model._bins(words)) == [zlib.crc32(f.encode()) % truncation.BINS for f in features]
+
+
 def test_alignment_decides():
     long = "Alpha beta gamma delta epsilon zeta. Eta theta iota kappa lambda mu."
     assert aligned_end("Alpha beta gamma delta epsilon zeta. Eta theta iota kap", long) == "cut"
